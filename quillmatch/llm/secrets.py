@@ -118,7 +118,7 @@ WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text
 m AS ({" UNION ALL ".join(_sql_spans(n, k, g, least) for n, (k, _, _, g, least) in enumerate(RULES))}),
 f AS (SELECT id, s.start::BIGINT AS a, s.kind AS k, (s.start + s.size)::BIGINT AS z FROM m
       WHERE s.own >= CASE s.kind WHEN 0 THEN 12 WHEN 1 THEN 18 ELSE 16 END),
-g AS (SELECT id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+g AS (SELECT id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
       string_agg(['assign', 'access', 'hex'][k + 1] || ':' || a || ':' || z, ',' ORDER BY a, k) AS spans FROM f GROUP BY id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
