@@ -169,7 +169,7 @@ def shown(spans) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, kind, end in spans)
 
 
-def masked(text: str, spans) -> str:
+def masked_text(text: str, spans) -> str:
     """``text`` with each value of a masked kind replaced by its kind in square brackets; of overlapping values the first counts."""
     parts, at = [], 0
     for start, kind, end in spans:
@@ -180,19 +180,24 @@ def masked(text: str, spans) -> str:
     return "".join([*parts, text[at:]]) if parts else text
 
 
-def find_pii(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds spans (array of kind, start, end) and masked, the text with the values of the base kinds and accounts replaced."""
-
+def find_pii(df: DataFrame, text: str = "text", spans: str | None = "spans", masked: str | None = "masked") -> DataFrame:
+    """Adds spans (array of kind, start, end) and masked, the text with the values of the base kinds and accounts replaced, under these names; None leaves one out."""
     def make():
         anchors = automaton()
 
         def run(block):
             found = [(t, find(t, anchors)) for t in texts(block, text)]
-            return [[[{"kind": k, "start": s, "end": e} for s, k, e in spans] for _, spans in found], [masked(t, spans) for t, spans in found]]
+            out = []
+            if spans:
+                out.append([[{"kind": k, "start": s, "end": e} for s, k, e in own] for _, own in found])
+            if masked:
+                out.append([masked_text(t, own) for t, own in found])
+            return out
 
         return run
 
-    return map_blocks(df, make, "spans array<struct<kind: string, start: long, `end`: long>>, masked string")
+    added = [f"`{spans}` array<struct<kind: string, start: long, `end`: long>>"] * bool(spans) + [f"`{masked}` string"] * bool(masked)
+    return map_blocks(df, make, ", ".join(added))
 
 
 def pii_digests(df: DataFrame, text: str = "text") -> DataFrame:
