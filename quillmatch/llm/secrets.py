@@ -95,7 +95,8 @@ def op6(spark, sf_dir: str) -> DataFrame:
     found, _ = scan(docs, "doc_id", "text")
     names = F.array(*map(F.lit, KINDS))
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
-    counts = [F.size(F.filter("spans", lambda s, n=n: s["kind"] == n)).cast("long").alias(f"n_{k}") for n, k in enumerate(KINDS)]
+    of_kind = lambda n: F.filter("spans", lambda s: s["kind"] == n)
+    counts = [F.size(of_kind(n)).cast("long").alias(f"n_{k}") for n, k in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
 
 
