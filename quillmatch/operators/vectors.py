@@ -11,13 +11,13 @@ from quillmatch.functions.text import grams
 
 
 def forms_of(rows: DataFrame) -> DataFrame:
-    """(form, m): distinct normalised strings with the number of their rows."""
-    return rows.groupBy("form").agg(F.count("*").alias("m"))
+    """(form, m, text): distinct normalised strings with the number of their rows. ``form`` may be a short key of them, if rows have form_text."""
+    return rows.groupBy("form").agg(F.count("*").alias("m"), F.first("form_text" if "form_text" in rows.columns else "form").alias("text"))
 
 
 def term_counts(forms: DataFrame, options: MatchOptions) -> DataFrame:
     """(form, m, gram, tf)."""
-    return forms.select("form", "m", F.explode(grams(F.col("form"), options)).alias("gram")).groupBy("form", "m", "gram").agg(F.count("*").alias("tf"))
+    return forms.select("form", "m", F.explode(grams(F.col("text"), options)).alias("gram")).groupBy("form", "m", "gram").agg(F.count("*").alias("tf"))
 
 
 def document_frequencies(counts: DataFrame) -> DataFrame:

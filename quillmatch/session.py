@@ -55,7 +55,9 @@ class Strings:
             out = with_positions(self.df.select(*columns, *[F.col(f"`{c}`").alias(f"__o{k}") for k, c in enumerate(self.order_by)]), "pos", [f"__o{k}" for k in range(len(self.order_by))])
             out = out.drop(*[f"__o{k}" for k in range(len(self.order_by))])
         out = out.withColumn("string", F.coalesce("string", F.raise_error(F.lit(f"column {self.column} has a null string"))))
-        return normalized(out, "string", options, "form")
+        out = normalized(out, "string", options, "form_text")
+        # postings carry the form: a long one by its digest
+        return out.withColumn("form", F.when(F.length("form_text") <= 40, F.col("form_text")).otherwise(F.md5("form_text")))
 
     def index_names(self) -> list[str]:
         return list(self.index) or ["index"]
@@ -143,8 +145,8 @@ class MatchSession:
 
     def _vectors(self) -> tuple[DataFrame, DataFrame]:
         """Postings of the forms of either side; weights come from both sides' rows together."""
-        left = self._left.select("form")
-        both = left if self._duplicates is None else left.unionByName(self._right.select("form"))
+        left = self._left.select("form", "form_text")
+        both = left if self._duplicates is None else left.unionByName(self._right.select("form", "form_text"))
         counts = vectors.term_counts(vectors.forms_of(both), self.options)
         if self.corpus_mode == "refit" or self._frozen is None:
             self._frozen = written(vectors.corpus(counts, both.count()), "corpus")
@@ -242,7 +244,7 @@ class MatchSession:
         if replace_na and len(m.index) != len(d.index):
             raise ValueError("replace_na needs as many index columns of master as of duplicates")
         best = grouping.nearest(self._matches).withColumnRenamed("right_pos", "pos")
-        masters = self._left.select(F.col("pos").alias("left_pos"), F.struct(*[F.col(c) for c in self._left.columns if c != "form"]).alias("m"))
+        masters = self._left.select(F.col("pos").alias("left_pos"), F.struct(*[F.col(c) for c in self._left.columns if c not in ("form", "form_text")]).alias("m"))
         found = self._right.join(best, "pos", "left").join(masters, "left_pos", "left")
         fall = F.col("left_pos").isNull()
         columns = [F.col("pos")]
