@@ -6,10 +6,10 @@ texts agree in a register with the probability Jaccard similarity of their weigh
 the last register's first one, so long texts need little more than one arrival per run. Bands of registers give candidates, and
 candidates are verified with their whole run sets.
 
-Shape: exact copies are collapsed by content first, so a group of copies of any size is one candidate. Texts of a bucket are
-compared with the bucket's hub, a linear number of pairs; further rounds compare, where a bucket still holds several classes, one
-text of each class with the hub class (other texts each round), until a round adds no link. Buckets are never held in one task. Links become classes by
-connected components in the shared folder.
+Shape: exact copies are collapsed by content first, so a group of copies of any size is one candidate. In buckets of at most ``WHOLE`` texts all
+pairs are weighed by how many registers agree, and the likely ones become candidates. The texts of a larger bucket are compared with three hubs of it, a
+linear number of pairs; a text has a bucket in every band, with other hubs, so near copies of one text meet hubs of their group many times over. Verified
+links become classes by connected components in the shared folder.
 
 Recall of one comparison at similarity 0.8 with 24 bands of 5 is above 0.9999.
 
@@ -31,6 +31,8 @@ from quillmatch.operators.components import components
 from quillmatch.shared import written
 
 BANDS, ROWS, WORDS, SIMILARITY = 24, 5, 5, 0.8
+#: Shares of agreeing registers: 2.7 standard deviations below and above SIMILARITY. Buckets of more than WHOLE texts are taken apart.
+LIKELY, SURE, WHOLE = 0.7, 0.9, 400
 #: Bytes of text at a time in the array code.
 STEP = 1 << 20
 
@@ -73,8 +75,8 @@ def sketch(runs: np.ndarray, weights: np.ndarray, begin: np.ndarray, registers:
 
 
 def band_keys(column: pa.Array) -> list:
-    """For each text its band keys; none for a text without runs."""
-    out = []
+    """[band keys, a byte of each register] for the texts; none for a text without runs."""
+    out, marks = [], []
     total = max(1, column.nbytes)
     step = max(1, int(len(column) * STEP / total))
     for i in range(0, len(column), step):
@@ -85,7 +87,24 @@ def band_keys(column: pa.Array) -> list:
             keys = mix(keys ^ held[:, :, r]) * np.uint64(0x9FB21C651E98DF25)
         some = np.diff(begin) > 0
         out += [k if s else [] for k, s in zip(keys.view(np.int64), some)]
-    return out
+        marks += [m.tobytes() if s else b"" for m, s in zip((mix(held.reshape(len(some), -1)) >> np.uint64(56)).astype(np.uint8), some)]
+    return [out, marks]
+
+
+def likely_pairs(ids: list[bytes], marks: list[bytes]) -> list[tuple[int, int]]:
+    """Pairs of a bucket's texts whose registers agree often enough for a similarity of ``SIMILARITY``; those that are already tied by near-certain pairs are left out,
+    as they can't change a class."""
+    m = np.frombuffer(b"".join(marks), np.uint8).reshape(len(ids), -1)
+    root = np.arange(len(ids))
+    pairs = []
+    for i in range(1, len(ids)):
+        agree = (m[:i] == m[i]).mean(1)
+        for j in np.flatnonzero(agree >= SURE):
+            if root[i] != root[j]:
+                pairs.append((int(j), i))
+                root[root == root[i]] = root[j]
+        pairs += [(int(j), i) for j in np.flatnonzero((agree >= LIKELY) & (agree < SURE)) if root[i] != root[j]]
+    return pairs
 
 
 def run_sets(column: pa.Array) -> list:
@@ -134,6 +153,13 @@ def content(text) -> F.Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
+def bucket_pairs(table: pa.Table) -> pa.Table:
+    """The likely pairs of one bucket of at most ``WHOLE`` texts."""
+    ids, marks = zip(*sorted(zip(table.column("id").to_pylist(), table.column("marks").to_pylist())))
+    pairs = likely_pairs(ids, marks)
+    return pa.table({"a": pa.array([ids[i] for i, _ in pairs], pa.binary()), "b": pa.array([ids[j] for _, j in pairs], pa.binary())})
+
+
 def links_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts are near-duplicates."""
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("runs").alias("__b")), "b").join(sets.select(F.col("id").alias("a"), F.col("runs").alias("__a")), "a")
@@ -148,35 +174,27 @@ def links_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_blocks(both.select("a", "b", "__a", "__b"), make, "similarity double", drop=["__a", "__b"]).where(F.col("similarity") >= SIMILARITY)
 
 
-def classes_of(rows: DataFrame, most_rounds: int = 8) -> DataFrame:
+def classes_of(rows: DataFrame) -> DataFrame:
     """One row per content of ``rows`` (key, text, id): id, n_copies, the class's id (class_key, class_texts), and its representative:
     rep_id and rep_key, with rep_rows, the number of rows of that content and key."""
-    sketched = map_blocks(rows, lambda: lambda block: [band_keys(block.column(block.schema.get_field_index("text")))], "bands array<long>", drop=["text"])
+    sketched = map_blocks(rows, lambda: lambda block: band_keys(block.column(block.schema.get_field_index("text"))), "bands array<long>, marks binary", drop=["text"])
     # One row per content: the exchange carries a content and key from a map task at most once.
-    by_key = sketched.groupBy("id", "key").agg(F.count("*").alias("n"), F.first("bands").alias("bands"))
+    by_key = sketched.groupBy("id", "key").agg(F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
     least = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "n")).alias("least")
-    contents = written(by_key.groupBy("id").agg(least, F.sum("n").alias("n_copies"), F.first("bands").alias("bands")), "contents")
-    entries = contents.select("id", F.explode("bands").alias("bucket"))
-    buckets = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1").drop("n")
+    contents = written(by_key.groupBy("id").agg(least, F.sum("n").alias("n_copies"), F.first("bands").alias("bands"), F.first("marks").alias("marks")), "contents")
+    entries = contents.select("id", F.explode("bands").alias("bucket"), "marks")
+    # Three hubs of each bucket, and its size.
+    hub = lambda k: F.min_by("id", F.xxhash64("id", "bucket", F.lit(k)))
+    buckets = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("h0"), F.max("id").alias("h1"), hub(2).alias("h2")).where("n > 1")
     members = written(entries.join(buckets, "bucket"), "members")  # only of buckets with several contents
-    tried = written(members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    wanted = members.select("id").distinct()
+    within = members.where(F.col("n") <= WHOLE).select("bucket", "id", "marks").groupBy("bucket").applyInArrow(bucket_pairs, "a binary, b binary")
+    stars = members.where(F.col("n") > WHOLE).select("id", F.explode(F.array_distinct(F.array("h0", "h1", "h2"))).alias("hub")).where("id <> hub")
+    pairs = within.unionByName(stars.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))).distinct()
+    tried = written(pairs, "pairs")
+    wanted = tried.select("a").union(tried.select("b")).distinct().withColumnRenamed("a", "id")
     found = rows.select("id", "text").join(wanted, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
     sets = written(map_blocks(found, lambda: lambda block: [run_sets(block.column(block.schema.get_field_index("text")))], "runs binary", drop=["text"]), "runs")
-    links = written(links_of(tried, sets).select("a", "b"), "near")
-    classes = components(links)
-    for k in range(most_rounds):
-        # In buckets that hold several classes yet: one text of each class, another one each round, against that of another class.
-        labelled = members.join(classes.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        texts = labelled.groupBy("bucket", "component").agg(F.min_by("id", F.xxhash64("id", F.lit(k))).alias("id"))
-        hubs = texts.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by(F.struct("id", "component"), F.xxhash64("component", F.lit(k))).alias("h")).where("n > 1")
-        more = texts.join(hubs, "bucket").where("component <> h.component").select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b")).distinct()
-        more = written(more.join(tried, ["a", "b"], "left_anti"), "pairs")
-        new = written(links_of(more, sets).select("a", "b"), "near")
-        if new.isEmpty():
-            break
-        tried, links = tried.unionByName(more), links.unionByName(new)
-        classes = components(links)
+    classes = components(links_of(tried, sets).select("a", "b"))
     classed = contents.select("id", "least", "n_copies").join(classes.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     of_class = classed.groupBy("component").agg(F.min(F.struct("least.none", "least.key", "id", "least.n")).alias("rep"), F.count("*").alias("class_texts"))
     return classed.join(of_class, "component").select("id", "n_copies", "class_texts", F.col("rep.key").alias("rep_key"), F.col("rep.id").alias("rep_id"), F.col("rep.n").alias("rep_rows"))
