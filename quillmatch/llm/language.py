@@ -82,7 +82,7 @@ class Model:
             w[0] = 0
             weights.append(w.astype(np.float32))
             trust.append(((on - off) * w).sum())  # how far the two sides' expected margins are apart
-        self.weights = np.array(weights, np.float32).reshape(len(weights), -1)
+        self.weights = np.array(weights, np.float32).reshape(len(weights), BUCKETS)
         self.trust = np.array(trust) / max(1e-9, sum(trust)) * len(trust) if trust else np.zeros(0)
 
     def margins(self, column: pa.Array) -> np.ndarray:
