@@ -182,12 +182,14 @@ def classes_of(rows: DataFrame) -> DataFrame:
     by_key = sketched.groupBy("id", "key").agg(F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
     least = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "n")).alias("least")
     contents = written(by_key.groupBy("id").agg(least, F.sum("n").alias("n_copies"), F.first("bands").alias("bands"), F.first("marks").alias("marks")), "contents")
-    entries = contents.select("id", F.explode("bands").alias("bucket"), "marks")
+    entries = contents.select("id", F.explode("bands").alias("bucket"))
     # Three hubs of each bucket, and its size.
     hub = lambda k: F.min_by("id", F.xxhash64("id", "bucket", F.lit(k)))
     buckets = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("h0"), F.max("id").alias("h1"), hub(2).alias("h2")).where("n > 1")
-    members = written(entries.join(buckets, "bucket"), "members")  # only of buckets with several contents
-    within = members.where(F.col("n") <= WHOLE).select("bucket", "id", "marks").groupBy("bucket").applyInArrow(bucket_pairs, "a binary, b binary")
+    # Only of buckets with several contents; the registers join these few, not every entry.
+    members = written(entries.join(buckets.hint("merge"), "bucket"), "members")
+    marked = members.where(F.col("n") <= WHOLE).select("bucket", "id").join(contents.select("id", "marks").hint("merge"), "id")
+    within = marked.groupBy("bucket").applyInArrow(bucket_pairs, "a binary, b binary")
     stars = members.where(F.col("n") > WHOLE).select("id", F.explode(F.array_distinct(F.array("h0", "h1", "h2"))).alias("hub")).where("id <> hub")
     pairs = within.unionByName(stars.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))).distinct()
     tried = written(pairs, "pairs")
