@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmatch.llm.rows import map_blocks
+from quillmatch.llm.rows import map_blocks, maybe_among
 from quillmatch.llm.words import mix, shingles, utf8, words
 from quillmatch.operators.components import components
 from quillmatch.shared import written
@@ -183,18 +183,21 @@ def classes_of(rows: DataFrame) -> DataFrame:
     least = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "n")).alias("least")
     contents = written(by_key.groupBy("id").agg(least, F.sum("n").alias("n_copies"), F.first("bands").alias("bands"), F.first("marks").alias("marks")), "contents")
     entries = contents.select("id", F.explode("bands").alias("bucket"))
+    # Few buckets have several contents: their entries alone travel.
+    shared = written(entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "buckets")
+    some = written(maybe_among(entries, F.col("bucket"), shared).where("__maybe").select("id", "bucket"), "entries")
     # Three hubs of each bucket, and its size.
     hub = lambda k: F.min_by("id", F.xxhash64("id", "bucket", F.lit(k)))
-    buckets = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("h0"), F.max("id").alias("h1"), hub(2).alias("h2")).where("n > 1")
-    # Only of buckets with several contents; the registers join these few, not every entry.
-    members = written(entries.join(buckets.hint("merge"), "bucket"), "members")
+    buckets = some.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("h0"), F.max("id").alias("h1"), hub(2).alias("h2")).where("n > 1")
+    members = written(some.join(buckets.hint("merge"), "bucket"), "members")
     marked = members.where(F.col("n") <= WHOLE).select("bucket", "id").join(contents.select("id", "marks").hint("merge"), "id")
     within = marked.groupBy("bucket").applyInArrow(bucket_pairs, "a binary, b binary")
     stars = members.where(F.col("n") > WHOLE).select("id", F.explode(F.array_distinct(F.array("h0", "h1", "h2"))).alias("hub")).where("id <> hub")
     pairs = within.unionByName(stars.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))).distinct()
     tried = written(pairs, "pairs")
-    wanted = tried.select("a").union(tried.select("b")).distinct().withColumnRenamed("a", "id")
-    found = rows.select("id", "text").join(wanted, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+    wanted = written(tried.select("a").union(tried.select("b")).distinct().withColumnRenamed("a", "id"), "wanted")
+    few = maybe_among(rows.select("id", "text"), F.col("id"), wanted).where("__maybe").select("id", "text")
+    found = few.join(wanted.hint("merge"), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
     sets = written(map_blocks(found, lambda: lambda block: [run_sets(block.column(block.schema.get_field_index("text")))], "runs binary", drop=["text"]), "runs")
     classes = components(links_of(tried, sets).select("a", "b"))
     classed = contents.select("id", "least", "n_copies").join(classes.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -223,7 +226,12 @@ def op2(spark, sf_dir: str) -> DataFrame:
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The row with the least key of each class of near-duplicates (null keys last), with all its columns; of several rows with that key and content one stays."""
-    reps = written(classes_of(keyed(docs, key, text)).where("id = rep_id").select(F.col("id").alias("__id"), F.xxhash64("rep_key").alias("__k"), "rep_rows"), "representatives")
-    held = docs.withColumns({"__id": content(F.col(f"`{text}`")), "__k": F.xxhash64(F.col(f"`{key}`"))}).join(reps, ["__id", "__k"])
-    once = held.where("rep_rows = 1").unionByName(held.where("rep_rows > 1").dropDuplicates(["__id"]))
-    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
+    classes = written(classes_of(keyed(docs, key, text)), "classes")
+    # A row whose content is in no other row and in a class of its own stays, without an exchange.
+    others = written(classes.where("n_copies > 1 or class_texts > 1").select("id"), "others")
+    marked = maybe_among(docs.withColumns({"__id": content(F.col(f"`{text}`")), "__k": F.xxhash64(F.col(f"`{key}`"))}), F.col("__id"), others)
+    reps = classes.where("id = rep_id").select(F.col("id").alias("__id"), F.xxhash64("rep_key").alias("__k"), F.col("rep_rows").alias("__rows"))
+    held = marked.where("__maybe").join(reps.hint("merge"), ["__id", "__k"])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    several = held.where("__rows > 1").dropDuplicates(["__id"])
+    return marked.where("not __maybe").select(*columns).union(held.where("__rows = 1").select(*columns)).union(several.select(*columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of column data that one call of a block function gets, but for a single longer row.
@@ -59,6 +59,30 @@ def map_blocks(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list
     return df.mapInArrow(run, out)
 
 
+#: Bits of a filter for each value, and of a whole filter: 32 MB are broadcast at most.
+BITS_EACH, BITS_MOST, PAGE = 16, 1 << 28, 1 << 15
+
+
+def maybe_among(df: DataFrame, value: Column, wanted: DataFrame, name: str = "__maybe") -> DataFrame:
+    """``df`` with a boolean column that is true for each row whose ``value`` is in the only column of ``wanted``, and for some others.
+
+    An exact join of the rows that are true, which then are few, must follow; the others need no exchange. The filter has a bit for the hash of each
+    value, in pages of ``PAGE`` bits. Its size is bounded: far beyond ``BITS_MOST / BITS_EACH`` values it is true for most rows, which costs
+    time and no results. ``wanted`` is read twice, so it should be a written table.
+    """
+    bits = 1 << 20
+    while bits < min(BITS_MOST, BITS_EACH * wanted.count()):
+        bits *= 2
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    of = slot(F.col(f"`{wanted.columns[0]}`"))
+    pages = wanted.groupBy(F.floor(of / PAGE).alias("__page")).agg(F.bitmap_construct_agg(of % PAGE).alias("__bits"))
+    at = slot(value)
+    held = df.join(F.broadcast(pages), F.floor(at / PAGE) == F.col("__page"), "left")
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(at % PAGE / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.pmod(F.floor(byte / F.pow(F.lit(2.0), at % 8)), F.lit(2)) == 1
+    return held.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(hit, F.lit(False)).alias(name))
+
+
 def texts(block: pa.RecordBatch, column: str) -> list[str]:
     """The texts of a block; null is the empty text."""
     return [t or "" for t in block.column(block.schema.get_field_index(column)).to_pylist()]
