@@ -188,3 +188,16 @@ def test_licenses(spark):
 def test_digest_of_no_spans(spark):
     row = pii.pii_digests(spark.createDataFrame([(1, None)], "doc_id long, text string")).first()
     assert row.base_sha256 == hashlib.sha256(b"").hexdigest() and row.spans == "" and row.n_email == 0
+
+
+def test_filter_loses_no_row(spark):
+    from pyspark.sql import functions as F
+
+    from quillmatch.llm.rows import maybe_among
+
+    rows = spark.range(5000).select((F.col("id") * 7919).alias("x"), (F.col("id") % 5 == 0).alias("among"))
+    wanted = rows.where("among").select("x")
+    marked = maybe_among(rows, F.col("x"), wanted)
+    assert marked.where("among and not __maybe").count() == 0
+    assert marked.where("not among and __maybe").count() < 100
+    assert maybe_among(rows, F.col("x"), wanted.where("x < 0")).where("__maybe").count() == 0
