@@ -7,9 +7,10 @@ the last register's first one, so long texts need little more than one arrival p
 candidates are verified with their whole run sets.
 
 Shape: exact copies are collapsed by content first, so a group of copies of any size is one candidate. In buckets of at most ``WHOLE`` texts all
-pairs are weighed by how many registers agree, and the likely ones become candidates. The texts of a larger bucket are compared with three hubs of it, a
-linear number of pairs; a text has a bucket in every band, with other hubs, so near copies of one text meet hubs of their group many times over. Verified
-links become classes by connected components in the shared folder.
+pairs are weighed by how many registers agree, and the likely ones become candidates. The texts of a larger bucket are first compared with three hubs of it, a
+linear number of pairs, and verified links become classes by connected components in the shared folder. Where a larger bucket then still has several classes, the
+texts outside its largest class are weighed against all texts of other classes in it, in blocks of about ``WHOLE`` by ``WHOLE`` texts over as many tasks as there are
+blocks; links inside one class can't change it. So buckets of every size are compared in full.
 
 Recall of one comparison at similarity 0.8 with 24 bands of 5 is above 0.9999.
 
@@ -160,6 +161,36 @@ def bucket_pairs(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([ids[i] for i, _ in pairs], pa.binary()), "b": pa.array([ids[j] for _, j in pairs], pa.binary())})
 
 
+def rest_pairs(table: pa.Table) -> pa.Table:
+    """The likely pairs of a block: one text of its rest (``rest`` true) and one of another class."""
+    rest = table.column("rest").to_numpy(zero_copy_only=False).astype(bool)
+    ids, codes = table.column("id").to_pylist(), {}
+    group = np.array([codes.setdefault(c, len(codes)) for c in table.column("component").to_pylist()], np.int64)
+    marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint8).reshape(len(ids), -1)
+    others = np.flatnonzero(~rest)
+    a, b = [], []
+    for i in np.flatnonzero(rest):
+        likely = others[((marks[others] == marks[i]).mean(1) >= LIKELY) & (group[others] != group[i])]
+        a += [min(ids[i], ids[j]) for j in likely]
+        b += [max(ids[i], ids[j]) for j in likely]
+    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+
+def rest_of(members: DataFrame, classes: DataFrame, contents: DataFrame) -> DataFrame:
+    """The likely pairs of different classes within the buckets of more than ``WHOLE`` texts, which hubs didn't tie."""
+    large = members.where(F.col("n") > WHOLE).select("bucket", "id", "n")
+    large = large.join(classes.withColumnRenamed("node", "id").hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = large.groupBy("bucket", "component").agg(F.count("*").alias("texts"))
+    split = sizes.groupBy("bucket").agg(F.count("*").alias("classes"), F.max_by("component", "texts").alias("most"), (F.sum("texts") - F.max("texts")).alias("left"))
+    within = large.join(split.where("classes > 1").hint("merge"), "bucket").join(contents.select("id", "marks").hint("merge"), "id")
+    across, down = F.ceil(F.col("n") / WHOLE), F.ceil(F.col("left") / WHOLE)
+    columns = ("bucket", "id", "component", "marks")
+    block = lambda count, salt: F.pmod(F.xxhash64("id", F.lit(salt)), count)
+    rest = within.where("component <> most").select(*columns, F.lit(True).alias("rest"), block(down, 1).alias("row"), F.explode(F.sequence(F.lit(0).cast("long"), across - 1)).alias("column"))
+    every = within.select(*columns, F.lit(False).alias("rest"), F.explode(F.sequence(F.lit(0).cast("long"), down - 1)).alias("row"), block(across, 2).alias("column"))
+    return rest.unionByName(every).groupBy("bucket", "row", "column").applyInArrow(rest_pairs, "a binary, b binary").distinct()
+
+
 def links_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts are near-duplicates."""
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("runs").alias("__b")), "b").join(sets.select(F.col("id").alias("a"), F.col("runs").alias("__a")), "a")
@@ -174,6 +205,15 @@ def links_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_blocks(both.select("a", "b", "__a", "__b"), make, "similarity double", drop=["__a", "__b"]).where(F.col("similarity") >= SIMILARITY)
 
 
+def verified(rows: DataFrame, tried: DataFrame) -> DataFrame:
+    """(a, b): the pairs ``tried`` of contents whose texts are near-duplicates."""
+    wanted = written(tried.select("a").union(tried.select("b")).distinct().withColumnRenamed("a", "id"), "wanted")
+    few = maybe_among(rows.select("id", "text"), F.col("id"), wanted).where("__maybe").select("id", "text")
+    found = few.join(wanted.hint("merge"), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+    sets = written(map_blocks(found, lambda: lambda block: [run_sets(block.column(block.schema.get_field_index("text")))], "runs binary", drop=["text"]), "runs")
+    return links_of(tried, sets).select("a", "b")
+
+
 def classes_of(rows: DataFrame) -> DataFrame:
     """One row per content of ``rows`` (key, text, id): id, n_copies, the class's id (class_key, class_texts), and its representative:
     rep_id and rep_key, with rep_rows, the number of rows of that content and key."""
@@ -194,12 +234,11 @@ def classes_of(rows: DataFrame) -> DataFrame:
     within = marked.groupBy("bucket").applyInArrow(bucket_pairs, "a binary, b binary")
     stars = members.where(F.col("n") > WHOLE).select("id", F.explode(F.array_distinct(F.array("h0", "h1", "h2"))).alias("hub")).where("id <> hub")
     pairs = within.unionByName(stars.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))).distinct()
-    tried = written(pairs, "pairs")
-    wanted = written(tried.select("a").union(tried.select("b")).distinct().withColumnRenamed("a", "id"), "wanted")
-    few = maybe_among(rows.select("id", "text"), F.col("id"), wanted).where("__maybe").select("id", "text")
-    found = few.join(wanted.hint("merge"), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
-    sets = written(map_blocks(found, lambda: lambda block: [run_sets(block.column(block.schema.get_field_index("text")))], "runs binary", drop=["text"]), "runs")
-    classes = components(links_of(tried, sets).select("a", "b"))
+    classes = components(verified(rows, written(pairs, "pairs")))
+    rest = written(rest_of(members, classes, contents), "rest")
+    if not rest.isEmpty():
+        more = written(verified(rows, rest), "links")
+        classes = components(more.unionByName(classes.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     classed = contents.select("id", "least", "n_copies").join(classes.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     of_class = classed.groupBy("component").agg(F.min(F.struct("least.none", "least.key", "id", "least.n")).alias("rep"), F.count("*").alias("class_texts"))
     return classed.join(of_class, "component").select("id", "n_copies", "class_texts", F.col("rep.key").alias("rep_key"), F.col("rep.id").alias("rep_id"), F.col("rep.n").alias("rep_rows"))

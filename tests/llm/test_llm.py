@@ -124,7 +124,9 @@ def test_language_held_out(spark, documents):
     assert p.where("lang_pred = lang").count() > 0.97 * p.count()
 
 
-def test_near_duplicates_against_brute_force(spark):
+@pytest.mark.parametrize("whole", [near_dedup.WHOLE, 3])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, whole):
+    monkeypatch.setattr(near_dedup, "WHOLE", whole)  # 3: most buckets go by hubs and the rest that these leave
     r = random.Random(2)
     base = [[f"w{r.randint(0, 5000)}" for _ in range(120)] for _ in range(20)]
     docs = []
@@ -135,6 +137,13 @@ def test_near_duplicates_against_brute_force(spark):
             for _ in range(r.randint(0, 6)):
                 c[r.randrange(len(c))] = f"n{r.randint(0, 10**9)}"
             docs.append(c)
+    for b in base[:5]:  # chains: only neighbours are near-duplicates
+        c = list(b)
+        for _ in range(15):
+            c = list(c)
+            for at in r.sample(range(0, 60, 5), 2):
+                c[at] = f"n{r.randint(0, 10**9)}"
+            docs.append(c)
     sets = [{tuple(d[i : i + 5]) for i in range(len(d) - 4)} for d in docs]
     root = list(range(len(docs)))
     for i in range(len(docs)):
