@@ -36,6 +36,8 @@ BANDS, ROWS, WORDS, SIMILARITY = 24, 5, 5, 0.8
 LIKELY, SURE, WHOLE = 0.7, 0.9, 400
 #: Bytes of text at a time in the array code.
 STEP = 1 << 20
+#: Bytes of run sets, about, on either side of a block.
+BLOCK = 32 << 20
 
 
 def weighted(data, offsets):
@@ -161,34 +163,51 @@ def bucket_pairs(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([ids[i] for i, _ in pairs], pa.binary()), "b": pa.array([ids[j] for _, j in pairs], pa.binary())})
 
 
-def rest_pairs(table: pa.Table) -> pa.Table:
-    """The likely pairs of a block: one text of its rest (``rest`` true) and one of another class."""
+def rest_links(table: pa.Table) -> pa.Table:
+    """The links of a block that tie classes: between a text of its rest (``rest`` true) and one of another class. A pair is weighed in the first bucket that
+    it shares only: a smaller one saw it already, in a larger one it is in another block."""
     rest = table.column("rest").to_numpy(zero_copy_only=False).astype(bool)
     ids, codes = table.column("id").to_pylist(), {}
     group = np.array([codes.setdefault(c, len(codes)) for c in table.column("component").to_pylist()], np.int64)
+    bucket, bands = table.column("bucket")[0].as_py(), np.array(table.column("bands").to_pylist(), np.int64)
     marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint8).reshape(len(ids), -1)
+    runs = table.column("runs")
     others = np.flatnonzero(~rest)
-    a, b = [], []
+    links = []
     for i in np.flatnonzero(rest):
-        likely = others[((marks[others] == marks[i]).mean(1) >= LIKELY) & (group[others] != group[i])]
-        a += [min(ids[i], ids[j]) for j in likely]
-        b += [max(ids[i], ids[j]) for j in likely]
-    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-
-def rest_of(members: DataFrame, classes: DataFrame, contents: DataFrame) -> DataFrame:
-    """The likely pairs of different classes within the buckets of more than ``WHOLE`` texts, which hubs didn't tie."""
-    large = members.where(F.col("n") > WHOLE).select("bucket", "id", "n")
+        agree = (marks[others] == marks[i]).mean(1)
+        likely = (agree >= LIKELY) & (group[others] != group[i])
+        likely, agree = others[likely], agree[likely]
+        same = bands[likely] == bands[i]
+        here = bands[i][same.argmax(1)] == bucket if len(likely) else np.empty(0, bool)
+        for j in likely[here][np.argsort(-agree[here], kind="stable")]:
+            if group[i] != group[j] and similarity(runs[int(i)].as_py(), runs[int(j)].as_py()) >= SIMILARITY:
+                links.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                group[group == group[i]] = group[j]
+    return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([y for _, y in links], pa.binary())})
+
+
+def unsettled(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(bucket, id, component, most) of the buckets of more than ``WHOLE`` texts in which hubs left several classes; ``most`` is the class of most texts."""
+    large = members.where(F.col("n") > WHOLE).select("bucket", "id")
     large = large.join(classes.withColumnRenamed("node", "id").hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = large.groupBy("bucket", "component").agg(F.count("*").alias("texts"))
-    split = sizes.groupBy("bucket").agg(F.count("*").alias("classes"), F.max_by("component", "texts").alias("most"), (F.sum("texts") - F.max("texts")).alias("left"))
-    within = large.join(split.where("classes > 1").hint("merge"), "bucket").join(contents.select("id", "marks").hint("merge"), "id")
-    across, down = F.ceil(F.col("n") / WHOLE), F.ceil(F.col("left") / WHOLE)
-    columns = ("bucket", "id", "component", "marks")
-    block = lambda count, salt: F.pmod(F.xxhash64("id", F.lit(salt)), count)
-    rest = within.where("component <> most").select(*columns, F.lit(True).alias("rest"), block(down, 1).alias("row"), F.explode(F.sequence(F.lit(0).cast("long"), across - 1)).alias("column"))
-    every = within.select(*columns, F.lit(False).alias("rest"), F.explode(F.sequence(F.lit(0).cast("long"), down - 1)).alias("row"), block(across, 2).alias("column"))
-    return rest.unionByName(every).groupBy("bucket", "row", "column").applyInArrow(rest_pairs, "a binary, b binary").distinct()
+    split = sizes.groupBy("bucket").agg(F.count("*").alias("classes"), F.max_by("component", F.struct("texts", "component")).alias("most")).where("classes > 1")
+    return large.join(split.select("bucket", "most").hint("merge"), "bucket")
+
+
+def links_of_rest(left: DataFrame, contents: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links that tie the classes of ``left``, found in blocks of about ``WHOLE`` texts, or ``BLOCK`` bytes of run sets, by as many."""
+    rest, size = F.col("component") != F.col("most"), F.length("runs")
+    parts = lambda one: F.greatest(F.ceil(F.sum(one) / WHOLE), F.ceil(F.sum(one * F.col("size")) / BLOCK), F.lit(1))
+    counts = left.join(sets.select("id", size.alias("size")).hint("merge"), "id").groupBy("bucket").agg(parts(F.lit(1)).alias("across"), parts(rest.cast("int")).alias("down"))
+    full = left.join(counts.hint("merge"), "bucket").join(contents.select("id", "marks", "bands").hint("merge"), "id").join(sets.hint("merge"), "id")
+    columns = ("bucket", "id", "component", "marks", "bands", "runs")
+    part = lambda count, salt: F.pmod(F.xxhash64("id", F.lit(salt)), count)
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+    one = full.where(rest).select(*columns, F.lit(True).alias("rest"), part(F.col("down"), 1).alias("row"), every("across").alias("column"))
+    all_ = full.select(*columns, F.lit(False).alias("rest"), every("down").alias("row"), part(F.col("across"), 2).alias("column"))
+    return one.unionByName(all_).groupBy("bucket", "row", "column").applyInArrow(rest_links, "a binary, b binary").distinct()
 
 
 def links_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -205,13 +224,12 @@ def links_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_blocks(both.select("a", "b", "__a", "__b"), make, "similarity double", drop=["__a", "__b"]).where(F.col("similarity") >= SIMILARITY)
 
 
-def verified(rows: DataFrame, tried: DataFrame) -> DataFrame:
-    """(a, b): the pairs ``tried`` of contents whose texts are near-duplicates."""
-    wanted = written(tried.select("a").union(tried.select("b")).distinct().withColumnRenamed("a", "id"), "wanted")
+def sets_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, runs): the run sets of the contents whose id is in ``ids``."""
+    wanted = written(ids.distinct(), "wanted")
     few = maybe_among(rows.select("id", "text"), F.col("id"), wanted).where("__maybe").select("id", "text")
     found = few.join(wanted.hint("merge"), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
-    sets = written(map_blocks(found, lambda: lambda block: [run_sets(block.column(block.schema.get_field_index("text")))], "runs binary", drop=["text"]), "runs")
-    return links_of(tried, sets).select("a", "b")
+    return written(map_blocks(found, lambda: lambda block: [run_sets(block.column(block.schema.get_field_index("text")))], "runs binary", drop=["text"]), "runs")
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
@@ -234,10 +252,11 @@ def classes_of(rows: DataFrame) -> DataFrame:
     within = marked.groupBy("bucket").applyInArrow(bucket_pairs, "a binary, b binary")
     stars = members.where(F.col("n") > WHOLE).select("id", F.explode(F.array_distinct(F.array("h0", "h1", "h2"))).alias("hub")).where("id <> hub")
     pairs = within.unionByName(stars.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))).distinct()
-    classes = components(verified(rows, written(pairs, "pairs")))
-    rest = written(rest_of(members, classes, contents), "rest")
-    if not rest.isEmpty():
-        more = written(verified(rows, rest), "links")
+    tried = written(pairs, "pairs")
+    classes = components(links_of(tried, sets_of(rows, tried.select(F.col("a").alias("id")).union(tried.select("b")))).select("a", "b"))
+    left = written(unsettled(members, classes), "unsettled")
+    if not left.isEmpty():
+        more = written(links_of_rest(left, contents, sets_of(rows, left.select("id"))), "links")
         classes = components(more.unionByName(classes.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     classed = contents.select("id", "least", "n_copies").join(classes.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     of_class = classed.groupBy("component").agg(F.min(F.struct("least.none", "least.key", "id", "least.n")).alias("rep"), F.count("*").alias("class_texts"))
