@@ -171,6 +171,32 @@ def test_decontamination_recall(documents, spark):
     assert {b.item_id for b in bench} <= {x.doc_id for x in exact.where("doc_id = item_id and distance = 0").collect()}
 
 
+@pytest.mark.parametrize("rate", [0.05, 0.1, 0.14])
+def test_decontamination_recall_of_character_edits(documents, spark, rate):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
+    tables = decontamination.Tables([(b.item_id, b.text) for b in bench])
+    r, words = random.Random(5), [w for d in documents.limit(50).collect() for w in d.text.split()]
+    found = wanted = 0
+    for b in bench:
+        at = set(r.sample(range(len(b.text)), int(rate * len(b.text))))
+        typed = "".join(r.choice(["", "q", "q" + c]) if i in at else c for i, c in enumerate(b.text))
+        before, after = (" ".join(r.choices(words, k=40)) for _ in range(2))
+        text, pattern = f"{before} {typed} {after}", decontamination.plain(b.text)
+        if decontamination.best_match(pattern, decontamination.plain(text), int(decontamination.RATIO * len(pattern))):
+            wanted += 1
+            got = [x for x in tables.search(pa.array([text])) if x[1] == b.item_id]
+            found += len(got) == 1 and abs(got[0][2] - len(before.lower().encode()) - 1) < 0.15 * len(b.text)
+    assert found >= 0.9 * wanted > 0.8 * len(bench)
+
+
+def test_decontamination_gives_each_passage_its_span():
+    item = "Seven grey herons, it is said, wait by the old mill until rain falls."
+    text = f"Ümlaut\n{item}\n\n{item.replace(' ', '  ')} And more. {item.replace('herons', 'hxrons')}"
+    got = decontamination.Tables([(7, item)]).search(pa.array([None, text]))
+    data = text.lower().encode()
+    assert [(g[0], g[1], g[4], decontamination.plain(data[g[2] : g[3]].decode())) for g in got] == [(1, 7, k, item.lower().replace("herons", h)) for k, h in ((0, "herons"), (0, "herons"), (1, "hxrons"))]
+
+
 def test_html(spark):
     page = "<html><body><nav><p>Menu</p></nav><article><h1>T&amp;x</h1><p>One <b>two</b><br>three<p>Four<div class='share'>no</div></article><footer>f</footer>"
     assert html_text.lines_of(page) == (["T&x", "One two three", "Four"], True)
