@@ -197,6 +197,17 @@ def test_decontamination_gives_each_passage_its_span():
     assert [(g[0], g[1], g[4], decontamination.plain(data[g[2] : g[3]].decode())) for g in got] == [(1, 7, k, item.lower().replace("herons", h)) for k, h in ((0, "herons"), (0, "herons"), (1, "hxrons"))]
 
 
+def test_decontamination_finds_unchanged_short_items():
+    r = random.Random(7)
+    words = [f"w{i}x" for i in range(300)]
+    items = [(i, " ".join(r.choices(words, k=1 + i % 3))) for i in range(300)]
+    tables = decontamination.Tables(items)
+    for i, item in items:
+        text = " ".join([*r.choices(words, k=20), item, *r.choices(words, k=20)])
+        assert any(x[1] == i and x[4] == 0 for x in tables.search(pa.array([text]))), item
+    assert [x[1] for x in decontamination.Tables([(1, "a b")]).search(pa.array(["a\u00a0b", "ab"]))] == [1]
+
+
 def test_html(spark):
     page = "<html><body><nav><p>Menu</p></nav><article><h1>T&amp;x</h1><p>One <b>two</b><br>three<p>Four<div class='share'>no</div></article><footer>f</footer>"
     assert html_text.lines_of(page) == (["T&x", "One two three", "Four"], True)
