@@ -6,13 +6,16 @@ texts agree in a register with the probability Jaccard similarity of their weigh
 the last register's first one, so long texts need little more than one arrival per run. Bands of registers give candidates, and
 candidates are verified with their whole run sets.
 
+Texts are linked if either their weighted runs or their plain run sets are similar enough, so a text with repeated runs has a second sketch, with all weights 1. Arrivals depend on run
+and rate only, so for a text without repeated runs both sketches are one. A pair is likely if either kind of registers agrees often enough.
+
 Shape: exact copies are collapsed by content first, so a group of copies of any size is one candidate. In buckets of at most ``WHOLE`` texts all
 pairs are weighed by how many registers agree, and the likely ones become candidates. The texts of a larger bucket are first compared with three hubs of it, a
 linear number of pairs, and verified links become classes by connected components in the shared folder. Where a larger bucket then still has several classes, the
 texts outside its largest class are weighed against all texts of other classes in it, in blocks of about ``WHOLE`` by ``WHOLE`` texts over as many tasks as there are
 blocks; links inside one class can't change it. So buckets of every size are compared in full.
 
-Recall of one comparison at similarity 0.8 with 24 bands of 5 is above 0.9999.
+Recall of one comparison at similarity 0.8 (of either kind): 24 bands of 5 share a bucket with a probability above 0.9999, and LIKELY then passes over fewer than 0.01 of the pairs.
 
 Cases: null counts as empty text. Texts without a word have no runs and share a class with byte-equal texts only. Texts of under five
 words are one run. Words are runs of letters and digits in either case. Repeated rows are exact copies. Empty tables give empty results. Extra
@@ -77,31 +80,56 @@ def sketch(runs: np.ndarray, weights: np.ndarray, begin: np.ndarray, registers:
     return held.reshape(n, registers)
 
 
+def keys_and_marks(held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The band keys of each text's registers, and a byte of each register."""
+    bands = held.reshape(-1, BANDS, ROWS)
+    keys = np.full(bands.shape[:2], 0, np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
+    for r in range(ROWS):
+        keys = mix(keys ^ bands[:, :, r]) * np.uint64(0x9FB21C651E98DF25)
+    return keys.view(np.int64), (mix(held) >> np.uint64(56)).astype(np.uint8)
+
+
 def band_keys(column: pa.Array) -> list:
-    """[band keys, a byte of each register] for the texts; none for a text without runs."""
+    """[band keys, a byte of each register] for the texts: those of the weighted runs, followed by those of the plain ones where a run is repeated; none for a text without runs."""
     out, marks = [], []
     total = max(1, column.nbytes)
     step = max(1, int(len(column) * STEP / total))
     for i in range(0, len(column), step):
         runs, weights, begin = weighted(*utf8(column.slice(i, step)))
-        held = sketch(runs, weights, begin, BANDS * ROWS).reshape(-1, BANDS, ROWS)
-        keys = np.full(held.shape[:2], 0, np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
-        for r in range(ROWS):
-            keys = mix(keys ^ held[:, :, r]) * np.uint64(0x9FB21C651E98DF25)
-        some = np.diff(begin) > 0
-        out += [k if s else [] for k, s in zip(keys.view(np.int64), some)]
-        marks += [m.tobytes() if s else b"" for m, s in zip((mix(held.reshape(len(some), -1)) >> np.uint64(56)).astype(np.uint8), some)]
+        sizes = np.diff(begin)
+        keys, bytes_ = keys_and_marks(sketch(runs, weights, begin, BANDS * ROWS))
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        again = np.bincount(text[weights > 1], minlength=len(sizes)) > 0
+        own = again[text]
+        plain = sketch(runs[own], np.ones(int(own.sum())), np.concatenate([[0], np.cumsum(sizes[again])]), BANDS * ROWS)
+        more = iter(zip(*keys_and_marks(plain)))
+        for k, m, s, two in zip(keys, bytes_, sizes > 0, again):
+            k2, m2 = next(more) if two else (k[:0], m[:0])
+            out.append(np.concatenate([k, k2]) if s else [])
+            marks.append(m.tobytes() + m2.tobytes() if s else b"")
     return [out, marks]
 
 
+def both_kinds(rows: list, dtype) -> np.ndarray:
+    """(texts, 2, n): the weighted and the plain band keys or marks of texts; texts without repeated runs have them once."""
+    rows = [np.frombuffer(r, dtype) if isinstance(r, bytes) else np.asarray(r, dtype) for r in rows]
+    n = BANDS * ROWS if dtype is np.uint8 else BANDS
+    return np.stack([np.resize(r, (2, n)) for r in rows])
+
+
+def agreement(marks: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """The larger share of registers of either kind in which texts agree with one."""
+    return (marks == one).mean(2).max(1)
+
+
 def likely_pairs(ids: list[bytes], marks: list[bytes]) -> list[tuple[int, int]]:
     """Pairs of a bucket's texts whose registers agree often enough for a similarity of ``SIMILARITY``; those that are already tied by near-certain pairs are left out,
     as they can't change a class."""
-    m = np.frombuffer(b"".join(marks), np.uint8).reshape(len(ids), -1)
+    m = both_kinds(marks, np.uint8)
     root = np.arange(len(ids))
     pairs = []
     for i in range(1, len(ids)):
-        agree = (m[:i] == m[i]).mean(1)
+        agree = agreement(m[:i], m[i])
         for j in np.flatnonzero(agree >= SURE):
             if root[i] != root[j]:
                 pairs.append((int(j), i))
@@ -169,13 +197,13 @@ def rest_links(table: pa.Table) -> pa.Table:
     rest = table.column("rest").to_numpy(zero_copy_only=False).astype(bool)
     ids, codes = table.column("id").to_pylist(), {}
     group = np.array([codes.setdefault(c, len(codes)) for c in table.column("component").to_pylist()], np.int64)
-    bucket, bands = table.column("bucket")[0].as_py(), np.array(table.column("bands").to_pylist(), np.int64)
-    marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint8).reshape(len(ids), -1)
+    bucket, bands = table.column("bucket")[0].as_py(), both_kinds(table.column("bands").to_pylist(), np.int64).reshape(len(ids), -1)
+    marks = both_kinds(table.column("marks").to_pylist(), np.uint8)
     runs = table.column("runs")
     others = np.flatnonzero(~rest)
     links = []
     for i in np.flatnonzero(rest):
-        agree = (marks[others] == marks[i]).mean(1)
+        agree = agreement(marks[others], marks[i])
         likely = (agree >= LIKELY) & (group[others] != group[i])
         likely, agree = others[likely], agree[likely]
         same = bands[likely] == bands[i]
@@ -240,7 +268,7 @@ def classes_of(rows: DataFrame) -> DataFrame:
     by_key = sketched.groupBy("id", "key").agg(F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
     least = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "n")).alias("least")
     contents = written(by_key.groupBy("id").agg(least, F.sum("n").alias("n_copies"), F.first("bands").alias("bands"), F.first("marks").alias("marks")), "contents")
-    entries = contents.select("id", F.explode("bands").alias("bucket"))
+    entries = contents.select("id", F.explode(F.array_distinct("bands")).alias("bucket"))
     # Few buckets have several contents: their entries alone travel.
     shared = written(entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "buckets")
     some = written(maybe_among(entries, F.col("bucket"), shared).where("__maybe").select("id", "bucket"), "entries")

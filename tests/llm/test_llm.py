@@ -171,6 +171,17 @@ def test_decontamination_recall(documents, spark):
     assert {b.item_id for b in bench} <= {x.doc_id for x in exact.where("doc_id = item_id and distance = 0").collect()}
 
 
+@pytest.mark.parametrize("line, times", [(18, 50), (20, 10)])
+def test_near_duplicates_by_plain_runs_of_repeated_lines(spark, line, times):
+    rows = []
+    for k in range(20):
+        base, more = (" ".join(f"{p}{k}x{i}" for i in range(n)) for p, n in (("b", 120), ("l", line)))
+        rows += [(2 * k, base), (2 * k + 1, base + f" {more}" * times)]
+    assert all(near_dedup.similarity(*near_dedup.run_sets(pa.array([a[1], b[1]]))) > 0.82 for a, b in zip(rows[::2], rows[1::2]))
+    found = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(found[2 * k + 1] == 2 * k for k in range(20)) >= 18
+
+
 @pytest.mark.parametrize("rate", [0.05, 0.1, 0.14])
 def test_decontamination_recall_of_character_edits(documents, spark, rate):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
