@@ -3,7 +3,8 @@
 Method: a text becomes its words (letters and digits in lower case). Hashes of ``GRAM`` consecutive words are winnowed (Schleimer, Wilkerson, Aiken,
 2003): of every ``WINDOW`` consecutive hashes the least is kept. The templates' fingerprints form an inverted index; a text's fingerprints look it up, and hits of
 one template on nearby diagonals become a candidate. Each candidate is aligned with the template, word by word, within a band of
-diagonals around its hits; the alignment gives the matched share of the template, the span in the text, and the matched runs.
+diagonals around its hits; the alignment gives the matched share of the template, the span in the text, and the matched runs. What it leaves of the text on either
+side is aligned again, so notices that stand close together give a row each.
 
 Templates with fewer than ``GRAM + WINDOW - 1`` words keep all of their hashes, and so does the text side for them: a text's hash also counts if it is in the
 index of such short templates. So any run of ``GRAM + WINDOW - 1`` words in common with a template, and any ``GRAM`` words in common with a short one, is found.
@@ -16,6 +17,8 @@ overlapping matches of one template the better counts; repeated rows give repeat
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 
 import numpy as np
@@ -96,19 +99,30 @@ def winnowed(values: np.ndarray, whole: np.ndarray) -> np.ndarray:
     return np.flatnonzero(chosen & whole)
 
 
-def aligned(template: np.ndarray, text: np.ndarray, shift: int, band: int) -> list[tuple[int, int]]:
-    """Pairs (template word, text word) of a best alignment by matches, with text - template within ``band`` of ``shift``."""
+def aligned(template: np.ndarray, text: np.ndarray, shift: int, band: int, low: int = 0, high: int | None = None) -> list[tuple[int, int]]:
+    """Pairs (template word, text word) of a best alignment by matches, of those one with the shortest span, with text - template within ``band`` of ``shift``
+    and text words from ``low`` to ``high``."""
     m, width = len(template), 2 * band + 1
-    score = np.zeros((m + 1, width + 2), np.int32)  # cell (i, d): template words before i, text words before i + shift - band + d
+    high = len(text) if high is None else high
+    # cell (i, d): template words before i, text words before i + shift - band + d; matches, then the place of the first one: the later the better
+    score = np.zeros((m + 1, width + 2), np.int64)
+    one = 1 << 32
     for i in range(1, m + 1):
         j = np.arange(i - 1 + shift - band, i + shift + band)
-        inside = (j >= 0) & (j < len(text))
-        same = np.zeros(width, np.int32)
+        inside = (j >= low) & (j < high)
+        same = np.zeros(width, bool)
         same[inside] = text[j[inside]] == template[i - 1]
         # along the diagonal, down (the text's word stays), then across (a running maximum)
-        row = np.maximum(score[i - 1, 1 : width + 1] + same, score[i - 1, 2 : width + 2])
+        before = score[i - 1, 1 : width + 1]
+        row = np.maximum(before + np.where(same, np.where(before > 0, one, one + j), 0), score[i - 1, 2 : width + 2])
         score[i, 1 : width + 1] = np.maximum.accumulate(row)
-    pairs, i, d = [], m, width
+    last = score[m, 1 : width + 1]
+    most = last >> 32
+    if not most[-1]:
+        return []
+    # of the ends with the most matches that of the shortest span
+    ends = np.flatnonzero(most == most[-1])
+    pairs, i, d = [], m, 1 + int(ends[np.argmin(ends - (last[ends] & (one - 1)))])
     while i > 0 and d > 0:
         j = i - 1 + shift - band + d - 1
         s = score[i, d]
@@ -117,12 +131,49 @@ def aligned(template: np.ndarray, text: np.ndarray, shift: int, band: int) -> li
         elif score[i - 1, d + 1] == s and d < width:
             i, d = i - 1, d + 1
         else:
-            if 0 <= j < len(text) and text[j] == template[i - 1] and s > score[i - 1, d]:
+            if low <= j < high and text[j] == template[i - 1] and s > score[i - 1, d]:
                 pairs.append((i - 1, j))
             i -= 1
     return pairs[::-1]
 
 
+def notices(template: np.ndarray, text: np.ndarray, hits: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """Alignments that reach ``COVERAGE`` and don't overlap, the best first. ``hits`` are (text - template, text word) of shared fingerprints. What an alignment leaves of
+    a band's part of the text is aligned again, as long as it holds a hit."""
+    hits = sorted(hits)
+    shifts = np.array([s for s, _ in hits])
+    cuts = [0, *(np.flatnonzero(np.diff(shifts) > BAND) + 1).tolist(), len(hits)]
+    heap: list[tuple] = []
+    taken: list[tuple[int, int]] = []  # ascending
+
+    def add(shift, band, places, low, high):
+        if high - low < COVERAGE * len(template) or bisect_left(places, low) >= bisect_right(places, high - GRAM):
+            return
+        pairs = aligned(template, text, shift, band, low, high)
+        if pairs and len(pairs) >= COVERAGE * len(template):
+            heapq.heappush(heap, (-len(pairs), pairs[-1][1] - pairs[0][1], pairs[0][1], shift, band, places, low, high, pairs))
+
+    for b, e in zip(cuts, cuts[1:]):
+        for lo in range(int(shifts[b]), int(shifts[e - 1]) + 1, 4 * BAND):  # long chains of shifts in bands that overlap
+            hi = min(int(shifts[e - 1]), lo + 4 * BAND)
+            shift, band = (lo + hi) // 2, (hi - lo) // 2 + BAND
+            places = sorted(p for _, p in hits[b + int(np.searchsorted(shifts[b:e], lo)) : b + int(np.searchsorted(shifts[b:e], hi, "right"))])
+            add(shift, band, places, max(0, shift - band), min(len(text), shift + band + len(template) + 1))
+    found = []
+    while heap:
+        *_, shift, band, places, low, high, pairs = heapq.heappop(heap)
+        a, z = pairs[0][1], pairs[-1][1] + 1
+        k = bisect_left(taken, (a, z))
+        over = next(((s, e) for s, e in taken[max(0, k - 1) : k + 1] if a < e and s < z), None)
+        if over is None:
+            taken.insert(k, (a, z))
+            found.append(pairs)
+            over = a, z
+        add(shift, band, places, low, over[0])
+        add(shift, band, places, over[1], high)
+    return found
+
+
 class Index:
     """Inverted index of template fingerprints."""
 
@@ -172,25 +223,8 @@ class Index:
         rows = []
         for (t, k), hits in sorted(by.items()):
             template, own = self.words[k], hashes[first[t] : first[t + 1]]
-            groups: list[list[int]] = []
-            for shift, _ in sorted(hits):
-                if groups and shift - groups[-1][-1] <= BAND:
-                    groups[-1].append(int(shift))
-                else:
-                    groups.append([int(shift)])
-            found = []
-            for g in groups:
-                for lo in range(g[0], g[-1] + 1, 4 * BAND):  # long chains of shifts in bands that overlap
-                    hi = min(g[-1], lo + 4 * BAND)
-                    pairs = aligned(template, own, (lo + hi) // 2, (hi - lo) // 2 + BAND)
-                    if pairs and len(pairs) >= COVERAGE * len(template):
-                        found.append(pairs)
-            taken: list[tuple[int, int]] = []
-            for pairs in sorted(found, key=lambda p: (-len(p), p[0][1])):
+            for pairs in notices(template, own, [(int(shift), i) for shift, i in hits]):
                 a, z = pairs[0][1], pairs[-1][1] + 1
-                if any(a < e and s < z for s, e in taken):
-                    continue
-                taken.append((a, z))
                 runs: list[list[int]] = []
                 for i, j in pairs:
                     if runs and runs[-1][1] == j and runs[-1][2] == i:

@@ -242,6 +242,16 @@ def test_licenses(spark):
     assert all(r.coverage > 0.9 for r in rows)
 
 
+def test_licenses_close_together():
+    index = licenses.Index(licenses.TEMPLATES)
+    one = "Copyright 2019 A. All rights reserved. "
+    for text, name, n in ((one * 2, "all-rights-reserved", 2), ("All rights reserved. " * 300, "all-rights-reserved", 300), (f"{licenses.TEMPLATES['MIT']} " * 3, "MIT", 3)):
+        rows = sorted((r for r in index.scan(pa.array([text])) if r[1] == name), key=lambda r: r[3])
+        assert len(rows) == n and all(r[2] == 1 for r in rows)
+        spans = {" ".join(re.findall(r"\w+", text[r[3] : r[4]].lower())) for r in rows}
+        assert spans == {" ".join(re.findall(r"\w+", licenses.TEMPLATES[name].lower()))}
+
+
 def test_digest_of_no_spans(spark):
     row = pii.pii_digests(spark.createDataFrame([(1, None)], "doc_id long, text string")).first()
     assert row.base_sha256 == hashlib.sha256(b"").hexdigest() and row.spans == "" and row.n_email == 0
