@@ -6,7 +6,7 @@ one template on nearby diagonals become a candidate. Each candidate is aligned w
 diagonals around its hits; the alignment gives the matched share of the template, the span in the text, and the matched runs. What it leaves of the text on either
 side is aligned again, so notices that stand close together give a row each.
 
-Templates with fewer than ``GRAM + WINDOW - 1`` words keep all of their hashes, and so does the text side for them: a text's hash also counts if it is in the
+Templates of at most ``SHORT`` words keep all of their hashes, and so does the text side for them: a text's hash also counts if it is in the
 index of such short templates. So any run of ``GRAM + WINDOW - 1`` words in common with a template, and any ``GRAM`` words in common with a short one, is found.
 
 The templates are a bounded list in the code of each worker (``TEMPLATES`` or the caller's; at most ``MOST_WORDS`` words together). Nothing is exchanged.
@@ -31,6 +31,8 @@ from quillmatch.llm.rows import blocks
 from quillmatch.llm.words import mix, utf8, words
 
 GRAM, WINDOW, COVERAGE, BAND, MOST_WORDS, STEP = 3, 6, 0.75, 12, 500_000, 2 << 20
+#: Templates of at most so many words keep all of their hashes.
+SHORT = 16
 
 # License notices by name, as projects put them into their files: fixed values.
 TEMPLATES = {
@@ -186,7 +188,7 @@ class Index:
         value, whole = grams(hashes, first)
         keep = np.zeros(len(value), bool)
         keep[winnowed(value, whole)] = True
-        short = np.repeat(np.diff(first) < GRAM + WINDOW - 1, np.diff(first))
+        short = np.repeat(np.diff(first) <= SHORT, np.diff(first))
         places = defaultdict(list)
         for i in np.flatnonzero((keep | short) & whole):
             t = int(np.searchsorted(first, i, "right")) - 1

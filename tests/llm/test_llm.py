@@ -252,6 +252,16 @@ def test_licenses_close_together():
         assert spans == {" ".join(re.findall(r"\w+", licenses.TEMPLATES[name].lower()))}
 
 
+def test_short_licenses_with_one_word_changed():
+    r = random.Random(2)
+    for size in (8, 9, 11, 12, 16):
+        for t in range(20):
+            words = [f"t{r.randrange(10**6)}" for _ in range(size)]
+            index, k = licenses.Index({"own": " ".join(words)}), r.randrange(size)
+            text = " ".join(["some", "words", "before", *words[:k], "changed", *words[k + 1 :], "and", "after"])
+            assert len(index.scan(pa.array([text]))) == 1, (words, k)
+
+
 def test_digest_of_no_spans(spark):
     row = pii.pii_digests(spark.createDataFrame([(1, None)], "doc_id long, text string")).first()
     assert row.base_sha256 == hashlib.sha256(b"").hexdigest() and row.spans == "" and row.n_email == 0
