@@ -2,13 +2,16 @@
 
 Method: within each host pages are ordered by URL path, and each is paired with its neighbours before and after. The text lines (blocks) of a pair are
 aligned by longest common subsequence; lines shared with a neighbour are the site's, not the page's, and go. Markup that states what a part is for
-comes first: inside ``article`` or ``main`` a line stays even if a neighbour has it too (copied articles and quoted passages are still
-the article's), and menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles go even if no neighbour has
-them. So the differencing decides for pages without such a container, and for parts outside of it nothing stays.
+comes first: menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles go even if no neighbour has them. A container
+is evidence: a ``main`` element is the main part, ``article`` elements are if they hold at least half of the characters outside of boilerplate (teaser cards don't). Nothing outside of a
+main part stays. On other pages all lines outside of boilerplate are compared with both neighbours.
 
-Shape: pairing works on a narrow table (host, path, key and 64-bit hashes of lines) that is dealt by ranges of host and path and
-numbered, so a host with a third of all pages is spread over many tasks; neighbours are found by number. Only pages without a container are paired,
-with all pages of their host as possible neighbours. Extracted text joins its deletions by key.
+Inside a main part a line goes only if two of the four nearest pages (two before, two after) share it and aren't copies: a page that shares half of the main part's characters or more has the same
+article, and says nothing about whose lines they are. So copied articles stay, and so do passages that one neighbour quotes.
+
+Shape: pairing works on a narrow table (host, path, key, and lengths and 64-bit hashes of lines) that is dealt by ranges of host and path and
+numbered, so a host with a third of all pages is spread over many tasks; neighbours are found by number. Only texts that lose lines
+travel, to be joined with their deletions by key.
 
 Cases: null and empty html give an empty text; a null url belongs to the empty host; repeated rows each get their result; unclosed elements end with the
 page; empty tables give empty results; extra columns are ignored.
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmatch.llm.rows import map_blocks
+from quillmatch.llm.rows import map_blocks, maybe_among
 from quillmatch.shared import written
 
 # Element names by their role, and tokens of class, id and role attributes that mark parts which are not the article: fixed values.
@@ -40,6 +43,8 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 WORD = re.compile(r"[a-z0-9]+")
 MAIN, OTHER = 1, 0
+#: Columns for the lines of pages so many ranks before.
+NEAR = {1: "before", -1: "after", 2: "before2", -2: "after2"}
 
 
 def is_boiler(name: str, attributes: str, in_main: bool) -> bool:
@@ -61,10 +66,9 @@ def is_boiler(name: str, attributes: str, in_main: bool) -> bool:
 
 def lines_of(page: str) -> tuple[list[str], bool]:
     """(text lines outside of boilerplate, whether they are those of a main container). Lines are blocks with references decoded and white space made one space."""
-    main: list[str] = []
-    other: list[str] = []
+    lines: list[tuple[str, bool]] = []
     open_: list[tuple[str, bool, bool]] = []  # element, whether in boilerplate, whether in a main container
-    boiler = inside = seen = False
+    boiler = inside = stated = False
     parts: list[str] = []
 
     def flush():
@@ -73,7 +77,7 @@ def lines_of(page: str) -> tuple[list[str], bool]:
             parts.clear()
             text = " ".join((entities.unescape(text) if "&" in text else text).split())
             if text and not boiler:
-                (main if inside else other).append(text)
+                lines.append((text, inside))
 
     at, n = 0, len(page)
     while at < n:
@@ -115,12 +119,15 @@ def lines_of(page: str) -> tuple[list[str], bool]:
                 flush()
             boiler_before, boiler = boiler, now
             inside = inside or (not now and (name in ("article", "main") or 'role="main"' in m[3]))
-            seen = seen or inside
+            stated = stated or inside and (name == "main" or 'role="main"' in m[3])
             if name == "p" and open_ and open_[-1][0] == "p":
                 open_.pop()
             open_.append((name, boiler, inside))
     flush()
-    return (main, True) if seen else (other, False)
+    held = [t for t, k in lines if k]
+    if held and (stated or 2 * sum(map(len, held)) >= sum(len(t) for t, _ in lines)):
+        return held, True
+    return [t for t, _ in lines], False
 
 
 def line_hashes(lines: list[str]) -> list[int]:
@@ -154,7 +161,7 @@ def shared_lines(a: list[int], b: list[int]) -> set[int]:
 
 
 def neighbours(pages: DataFrame) -> DataFrame:
-    """(key, lines, before, after) for distinct (host, path, key, lines) of ``pages``: the line hashes of the pages next to each in its host by path."""
+    """(key, lines, sizes, has_main, before, after, before2, after2) for distinct pages: the line hashes of the pages next to each in its host by path."""
     spark = pages.sparkSession
     ordered = pages.repartitionByRange("host", "path", "key").sortWithinPartitions("host", "path", "key").withColumn("__at", F.monotonically_increasing_id())
     ordered = written(ordered, "ordered")
@@ -166,23 +173,38 @@ def neighbours(pages: DataFrame) -> DataFrame:
         total += n
     offsets = spark.createDataFrame([(int(r), int(b)) for r, b in begins.items()] or [(0, 0)], "r long, begin long")
     ranked = ordered.withColumn("r", F.shiftright("__at", 33)).join(F.broadcast(offsets), "r").withColumn("rank", F.col("begin") + F.col("__at").bitwiseAND((1 << 33) - 1))
-    ranked = ranked.select("rank", "host", "key", "lines", "has_main")
-    sides = [ranked.select((F.col("rank") + d).alias("rank"), F.col("host").alias(f"h{k}"), F.col("lines").alias(f"l{k}")) for k, d in enumerate((1, -1))]
-    both = ranked.where("not has_main").join(sides[0], "rank", "left").join(sides[1], "rank", "left")
-    return both.select("key", "lines", F.when(F.col("h0") == F.col("host"), F.col("l0")).alias("before"), F.when(F.col("h1") == F.col("host"), F.col("l1")).alias("after"))
+    ranked = written(ranked.select("rank", "host", "key", "lines", "sizes", "has_main"), "ranked")
+    both = ranked
+    for d in (1, -1, 2, -2):
+        side = ranked.select((F.col("rank") + d).alias("rank"), F.col("host").alias("h"), F.col("lines").alias("l"))
+        both = both.join(side, "rank", "left").withColumn(NEAR[d], F.when(F.col("h") == F.col("host"), F.col("l"))).drop("h", "l")
+    return both.select("key", "lines", "sizes", "has_main", *NEAR.values())
+
+
+def site_lines(lines: list[int], sizes: list[int], has_main: bool, near: list) -> list[int]:
+    """The indices of a page's lines that are the site's; ``near`` has the lines of the pages before and after it, then of those two before and two after."""
+    if not has_main:
+        return sorted(set().union(*(shared_lines(lines, n or []) for n in near[:2])))
+    total, count = sum(sizes), [0] * len(lines)
+    for n in near:
+        got = shared_lines(lines, n) if n else ()
+        if 2 * sum(sizes[i] for i in got) < total:  # else a copy
+            for i in got:
+                count[i] += 1
+    return [i for i, c in enumerate(count) if c > 1]
 
 
 def deletions(pairs: DataFrame) -> DataFrame:
-    """(key, shared): the indices of each page's lines that a neighbour shares."""
+    """(key, shared): the indices of each page's lines that are the site's."""
 
     def make():
         def run(block):
-            lines, before, after = (block.column(block.schema.get_field_index(c)).to_pylist() for c in ("lines", "before", "after"))
-            return [[sorted(shared_lines(a, b or []) | shared_lines(a, c or [])) for a, b, c in zip(lines, before, after)]]
+            lines, sizes, has_main, *near = (block.column(block.schema.get_field_index(c)).to_pylist() for c in ("lines", "sizes", "has_main", *NEAR.values()))
+            return [[site_lines(*page, n) for *page, n in zip(lines, sizes, has_main, zip(*near))]]
 
         return run
 
-    return map_blocks(pairs, make, "shared array<int>", drop=["lines", "before", "after"]).where(F.size("shared") > 0)
+    return map_blocks(pairs, make, "shared array<int>", drop=["lines", "sizes", "has_main", *NEAR.values()]).where(F.size("shared") > 0)
 
 
 def main_text(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -196,17 +218,18 @@ def main_text(df: DataFrame, key: str = "page_id", url: str = "url", html: str =
     def make():
         def run(block):
             got = [lines_of(p or "") for p in block.column(block.schema.get_field_index("html")).to_pylist()]
-            return [[g[0] for g in got], [line_hashes(g[0]) for g in got], [g[1] for g in got]]
+            return [[g[0] for g in got], [line_hashes(g[0]) for g in got], [[len(t) for t in g[0]] for g in got], [g[1] for g in got]]
 
         return run
 
-    parsed = written(map_blocks(pages, make, "text_lines array<string>, lines array<long>, has_main boolean", drop=["html"]), "parsed")
-    narrow = parsed.groupBy("host", "path", "key").agg(F.first("lines").alias("lines"), F.first("has_main").alias("has_main"))
-    gone = deletions(neighbours(narrow))
-    contained = parsed.where("has_main").withColumn("shared", F.lit(None).cast("array<int>"))
-    open_ = parsed.where("not has_main").join(gone, "key", "left")
+    parsed = written(map_blocks(pages, make, "text_lines array<string>, lines array<long>, sizes array<int>, has_main boolean", drop=["html"]), "parsed")
+    narrow = parsed.groupBy("host", "path", "key").agg(*[F.first(c).alias(c) for c in ("lines", "sizes", "has_main")])
+    gone = written(deletions(neighbours(narrow)), "gone")
+    marked = maybe_among(parsed.select("page", "url", "text_lines", "key"), F.col("key"), gone.select("key"))
     columns = ["page", "url", "text_lines", "shared"]
-    every = contained.select(columns).unionByName(open_.select(columns))
+    whole_ = marked.where("not __maybe").withColumn("shared", F.lit(None).cast("array<int>"))
+    cut = marked.where("__maybe").join(gone, "key", "left")
+    every = whole_.select(columns).unionByName(cut.select(columns))
     kept = F.when(F.col("shared").isNull(), F.col("text_lines")).otherwise(F.filter("text_lines", lambda t, i: ~F.array_contains("shared", i)))
     text = F.array_join(kept, "\n\n")
     return every.select(F.col("page").alias(key), F.col("url").alias(url), text.alias("text"), F.length(text).cast("long").alias("n_chars"))

@@ -171,6 +171,20 @@ def test_decontamination_recall(documents, spark):
     assert {b.item_id for b in bench} <= {x.doc_id for x in exact.where("doc_id = item_id and distance = 0").collect()}
 
 
+def test_html_containers_are_evidence(spark):
+    cards = "".join(f"<article><p>Teaser {i}</p></article>" for i in range(3))
+    own, letter = "The main text of this page, longer than all of its cards, is number", "Join the letter that every page of this host has"
+    pages = [(i, f"http://cards.example/{i}", f"<div><p>{own} {i}</p></div>{cards}") for i in range(4)]
+    pages += [(10 + i, f"http://letter.example/{i}", f"<article><p>{own} {i}</p><p>It has a second line, {i}</p><p>{letter}</p></article><p>x</p>") for i in range(5)]
+    pages += [(20 + i, f"http://copies.example/{i}", f"<article><p>{own}</p><p>And more</p></article>") for i in range(5)]
+    pages += [(30 + i, f"http://quotes.example/{i}", f"<article><p>{own} {i}</p>{'<p>A quoted line</p>' if i in (1, 2) else ''}</article>") for i in range(4)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"{own} {i}" for i in range(4))
+    assert all(got[10 + i] == f"{own} {i}\n\nIt has a second line, {i}" for i in range(5))
+    assert all(got[20 + i] == f"{own}\n\nAnd more" for i in range(5))
+    assert all(got[30 + i] == f"{own} {i}" + ("\n\nA quoted line" if i in (1, 2) else "") for i in range(4))
+
+
 @pytest.mark.parametrize("line, times", [(18, 50), (20, 10)])
 def test_near_duplicates_by_plain_runs_of_repeated_lines(spark, line, times):
     rows = []
