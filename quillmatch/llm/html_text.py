@@ -37,6 +37,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript template iframe svg select button xmp noembed noframes object".split())
 SKIPPED = frozenset("nav header footer aside form menu dialog head".split())
 NOT_MAIN = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted promotion related respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split())
+#: Words that go with those of NOT_MAIN in names of parts, and headings, whose ids are made from their text.
+PARTS = frozenset("area article articles bar block box button buttons container content form inner item items link links list media module outer panel post posts row section slot stories story top bottom unit widget wrap wrapper".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar toolbar".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
@@ -47,6 +50,16 @@ MAIN, OTHER = 1, 0
 NEAR = {1: "before", -1: "after", 2: "before2", -2: "after2"}
 
 
+def names_boiler(value: str) -> bool:
+    """Whether one of the class or id names in a main container says that its part isn't the article: all of its words must, as ids made from headings hold words of any kind. A notice
+    alone may be the article's."""
+    for one in value.split():
+        found = set(WORD.findall(one))
+        if found <= NOT_MAIN | PARTS and found & NOT_MAIN - {"notice", "notices"}:
+            return True
+    return False
+
+
 def is_boiler(name: str, attributes: str, in_main: bool) -> bool:
     """Whether an element's own markup says that it isn't part of the article. An article's own header stays, as it holds the headline."""
     if name in SKIPPED and not (name == "header" and in_main):
@@ -59,6 +72,9 @@ def is_boiler(name: str, attributes: str, in_main: bool) -> bool:
                     return True
             elif k == "hidden":
                 return True
+            elif in_main:
+                if not (k == "id" and name in HEADINGS) and name not in ("article", "main") and names_boiler(value):
+                    return True
             elif name not in ("body", "html", "article", "main") and not NOT_MAIN.isdisjoint(WORD.findall(value)):
                 return True
     return False

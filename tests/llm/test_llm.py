@@ -185,6 +185,12 @@ def test_html_containers_are_evidence(spark):
     assert all(got[30 + i] == f"{own} {i}" + ("\n\nA quoted line" if i in (1, 2) else "") for i in range(4))
 
 
+def test_html_names_inside_containers():
+    kept = '<h2 id="related-work">A</h2><section id="comments-on-the-draft"><p>B</p></section><p class="notice">C</p><h2 id="social-policy">D</h2><h2 id="comments">E</h2>'
+    gone = '<div class="share-buttons">1</div><div class="x related-posts">2</div><section id="comments"><p>3</p></section><div class="cookie-notice">4</div><div id="ad-slot"><p>5</p></div>'
+    assert html_text.lines_of(f"<article>{kept}{gone}</article>") == (["A", "B", "C", "D", "E"], True)
+
+
 @pytest.mark.parametrize("line, times", [(18, 50), (20, 10)])
 def test_near_duplicates_by_plain_runs_of_repeated_lines(spark, line, times):
     rows = []
