@@ -9,11 +9,12 @@ candidates are verified with their whole run sets.
 Texts are linked if either their weighted runs or their plain run sets are similar enough, so a text with repeated runs has a second sketch, with all weights 1. Arrivals depend on run
 and rate only, so for a text without repeated runs both sketches are one. A pair is likely if either kind of registers agrees often enough.
 
-Shape: exact copies are collapsed by content first, so a group of copies of any size is one candidate. In buckets of at most ``WHOLE`` texts all
-pairs are weighed by how many registers agree, and the likely ones become candidates. The texts of a larger bucket are first compared with three hubs of it, a
-linear number of pairs, and verified links become classes by connected components in the shared folder. Where a larger bucket then still has several classes, the
-texts outside its largest class are weighed against all texts of other classes in it, in blocks of about ``WHOLE`` by ``WHOLE`` texts over as many tasks as there are
-blocks; links inside one class can't change it. So buckets of every size are compared in full.
+Shape: exact copies are collapsed by content first, so a group of copies of any size is one candidate. In a bucket of at most ``WHOLE`` texts the pairs of which
+enough registers agree are its likely ones; a maximum spanning forest of them, fewer pairs than texts, is verified, and links become classes by connected components in the
+shared folder. The texts of a larger bucket are compared with three hubs of it instead. A bucket is settled when the ends of its forest's pairs are in one class each: then so are
+those of all its likely pairs, tried or not. Of the others (a pair of the forest failed; hubs left several classes) the texts outside the largest class are weighed against all of other classes,
+in blocks of about ``WHOLE`` by ``WHOLE`` texts spread over tasks; the run sets of texts with a likely pair travel, and links that tie classes are what comes out. So
+every likely pair of two classes is verified, in buckets of every size, and the rows of each step grow with the texts and not with their pairs.
 
 Recall of one comparison at similarity 0.8 (of either kind): 24 bands of 5 share a bucket with a probability above 0.9999, and LIKELY then passes over fewer than 0.01 of the pairs.
 
@@ -32,14 +33,15 @@ from pyspark.sql import functions as F
 from quillmatch.llm.rows import map_blocks, maybe_among
 from quillmatch.llm.words import mix, shingles, utf8, words
 from quillmatch.operators.components import components
+from quillmatch.operators.skew import fresh, join_unique
 from quillmatch.shared import written
 
 BANDS, ROWS, WORDS, SIMILARITY = 24, 5, 5, 0.8
-#: Shares of agreeing registers: 2.7 standard deviations below and above SIMILARITY. Buckets of more than WHOLE texts are taken apart.
-LIKELY, SURE, WHOLE = 0.7, 0.9, 400
+#: Share of agreeing registers: 2.7 standard deviations below SIMILARITY. Buckets of more than WHOLE texts are taken apart.
+LIKELY, WHOLE = 0.7, 400
 #: Bytes of text at a time in the array code.
 STEP = 1 << 20
-#: Bytes of run sets, about, on either side of a block.
+#: Bytes of text on either side of a block; its run sets are about as many.
 BLOCK = 32 << 20
 
 
@@ -122,22 +124,59 @@ def agreement(marks: np.ndarray, one: np.ndarray) -> np.ndarray:
     return (marks == one).mean(2).max(1)
 
 
-def likely_pairs(ids: list[bytes], marks: list[bytes]) -> list[tuple[int, int]]:
-    """Pairs of a bucket's texts whose registers agree often enough for a similarity of ``SIMILARITY``; those that are already tied by near-certain pairs are left out,
-    as they can't change a class."""
-    m = both_kinds(marks, np.uint8)
-    root = np.arange(len(ids))
-    pairs = []
-    for i in range(1, len(ids)):
-        agree = agreement(m[:i], m[i])
-        for j in np.flatnonzero(agree >= SURE):
-            if root[i] != root[j]:
-                pairs.append((int(j), i))
-                root[root == root[i]] = root[j]
-        pairs += [(int(j), i) for j in np.flatnonzero((agree >= LIKELY) & (agree < SURE)) if root[i] != root[j]]
+def forest(ids: list[bytes], marks: np.ndarray) -> list[tuple[int, int]]:
+    """A maximum spanning forest of the likely pairs of a bucket's texts, by agreeing registers (Prim). Ties go by the ids, so forests of buckets that share
+    texts choose the same pairs."""
+    n = len(ids)
+    tie = mix(np.frombuffer(b"".join(i[:8] for i in ids), np.uint64)) >> np.uint64(44)
+    weight, parent, out = np.full(n, -1), np.zeros(n, np.int64), np.ones(n, bool)
+    least, pairs, i = int(np.ceil(LIKELY * BANDS * ROWS)) << 20, [], 0
+    for _ in range(n - 1):
+        out[i] = False
+        now = ((marks == marks[i]).sum(2).max(1) << 20) + (tie ^ tie[i]).astype(np.int64)
+        better = out & (now > weight)
+        weight[better], parent[better] = now[better], i
+        i = int(np.where(out, weight, -2).argmax())
+        if weight[i] >= least:
+            pairs.append((int(parent[i]), i))
     return pairs
 
 
+def whole_groups(batches, column: int):
+    """Batches cut so that rows of one value of a column, which is sorted, are in one."""
+    rest = None
+    for batch in batches:
+        if rest is not None:
+            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        if not batch.num_rows:
+            continue
+        value = batch.column(column).to_numpy()
+        cut = int(np.searchsorted(value, value[-1]))
+        if cut:
+            yield batch.slice(0, cut)
+        rest = batch.slice(cut)
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def bucket_forests(batches):
+    """(a, b, bucket, n): the forests of buckets of at most ``WHOLE`` texts. ``batches`` have bucket (sorted), id and marks."""
+    for batch in whole_groups(batches, 0):
+        bucket, ids, marks = batch.column(0).to_numpy(), batch.column(1).to_pylist(), both_kinds(batch.column(2).to_pylist(), np.uint8)
+        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        size = np.diff(np.append(first, len(bucket)))
+        two = first[size == 2]  # most of them
+        likely = two[(marks[two] == marks[two + 1]).mean(2).max(1) >= LIKELY]
+        found = [(i, i + 1, 2) for i in likely.tolist()]
+        for at, n in zip(first[size > 2].tolist(), size[size > 2].tolist()):
+            found += ((at + i, at + j, n) for i, j in forest(ids[at : at + n], marks[at : at + n]))
+        if found:
+            a, b = ([min(ids[i], ids[j]) for i, j, _ in found], [max(ids[i], ids[j]) for i, j, _ in found])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(bucket[[i for i, _, _ in found]]), pa.array([n for _, _, n in found], pa.int64())], names=["a", "b", "bucket", "n"]
+            )
+
+
 def run_sets(column: pa.Array) -> list:
     """For each text its distinct runs and their weights as bytes (uint64, float32)."""
     out = []
@@ -184,58 +223,81 @@ def content(text) -> F.Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def bucket_pairs(table: pa.Table) -> pa.Table:
-    """The likely pairs of one bucket of at most ``WHOLE`` texts."""
-    ids, marks = zip(*sorted(zip(table.column("id").to_pylist(), table.column("marks").to_pylist())))
-    pairs = likely_pairs(ids, marks)
-    return pa.table({"a": pa.array([ids[i] for i, _ in pairs], pa.binary()), "b": pa.array([ids[j] for _, j in pairs], pa.binary())})
-
-
-def rest_links(table: pa.Table) -> pa.Table:
-    """The links of a block that tie classes: between a text of its rest (``rest`` true) and one of another class. A pair is weighed in the first bucket that
-    it shares only: a smaller one saw it already, in a larger one it is in another block."""
-    rest = table.column("rest").to_numpy(zero_copy_only=False).astype(bool)
-    ids, codes = table.column("id").to_pylist(), {}
-    group = np.array([codes.setdefault(c, len(codes)) for c in table.column("component").to_pylist()], np.int64)
-    bucket, bands = table.column("bucket")[0].as_py(), both_kinds(table.column("bands").to_pylist(), np.int64).reshape(len(ids), -1)
-    marks = both_kinds(table.column("marks").to_pylist(), np.uint8)
-    runs = table.column("runs")
-    others = np.flatnonzero(~rest)
-    links = []
-    for i in np.flatnonzero(rest):
-        agree = agreement(marks[others], marks[i])
-        likely = (agree >= LIKELY) & (group[others] != group[i])
-        likely, agree = others[likely], agree[likely]
-        same = bands[likely] == bands[i]
-        here = bands[i][same.argmax(1)] == bucket if len(likely) else np.empty(0, bool)
-        for j in likely[here][np.argsort(-agree[here], kind="stable")]:
-            if group[i] != group[j] and similarity(runs[int(i)].as_py(), runs[int(j)].as_py()) >= SIMILARITY:
-                links.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
-                group[group == group[i]] = group[j]
+class Block:
+    """Texts of a bucket's rest (``rest`` true) and all texts that they are weighed against. A pair is weighed in the first bucket that it shares only: in a smaller one of two texts it
+    failed, and a bucket is settled only if it holds no likely pair of two classes."""
+
+    def __init__(self, table: pa.Table):
+        self.rest = table.column("rest").to_numpy(zero_copy_only=False).astype(bool)
+        self.ids, codes = table.column("id").to_pylist(), {}
+        self.group = np.array([codes.setdefault(c, len(codes)) for c in table.column("component").to_pylist()], np.int64)
+        self.bucket = table.column("bucket")[0].as_py()
+        self.bands = both_kinds(table.column("bands").to_pylist(), np.int64).reshape(len(self.ids), -1)
+        self.marks = both_kinds(table.column("marks").to_pylist(), np.uint8)
+        self.others = np.flatnonzero(~self.rest)
+
+    def partners(self, i: int) -> np.ndarray:
+        """Texts that are likely near-duplicates of ``i`` and in another class, the likeliest first."""
+        others = self.others[self.group[self.others] != self.group[i]]
+        agree = agreement(self.marks[others], self.marks[i])
+        others, agree = others[agree >= LIKELY], agree[agree >= LIKELY]
+        if not len(others):
+            return others
+        here = self.bands[i][(self.bands[others] == self.bands[i]).argmax(1)] == self.bucket
+        return others[here][np.argsort(-agree[here], kind="stable")]
+
+
+def wanted_of_block(table: pa.Table) -> pa.Table:
+    """The rows of a block that are part of a likely pair of two classes."""
+    block = Block(table)
+    wanted = np.zeros(len(block.ids), bool)
+    for i in np.flatnonzero(block.rest):
+        near = block.partners(int(i))
+        wanted[near] = True
+        wanted[i] = len(near) > 0
+    return table.filter(pa.array(wanted))
+
+
+def links_of_block(table: pa.Table) -> pa.Table:
+    """The links of a block that tie classes."""
+    block, runs, links = Block(table), table.column("runs"), []
+    for i in np.flatnonzero(block.rest).tolist():
+        own = runs[i].as_py()
+        for j in block.partners(i).tolist():
+            if block.group[i] != block.group[j] and similarity(own, runs[j].as_py()) >= SIMILARITY:
+                links.append((min(block.ids[i], block.ids[j]), max(block.ids[i], block.ids[j])))
+                block.group[block.group == block.group[i]] = block.group[j]
     return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([y for _, y in links], pa.binary())})
 
 
-def unsettled(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """(bucket, id, component, most) of the buckets of more than ``WHOLE`` texts in which hubs left several classes; ``most`` is the class of most texts."""
-    large = members.where(F.col("n") > WHOLE).select("bucket", "id")
-    large = large.join(classes.withColumnRenamed("node", "id").hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    sizes = large.groupBy("bucket", "component").agg(F.count("*").alias("texts"))
+def unsettled(members: DataFrame, edges: DataFrame, classes: DataFrame) -> DataFrame:
+    """(bucket, id, component, most) of the buckets that may hold a likely pair of two classes; ``most`` is the class of most texts."""
+    of = lambda end: classes.select(F.col("node").alias(end), F.col("component").alias(f"{end}_class")).hint("merge")
+    tried = edges.where("n > 2").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    failed = tried.where(F.coalesce("a_class", "a") != F.coalesce("b_class", "b")).select("bucket").distinct()
+    some = members.where(F.col("n") > WHOLE).unionByName(members.where(F.col("n") <= WHOLE).join(failed.hint("merge"), "bucket", "left_semi")).select("bucket", "id")
+    some = some.join(classes.withColumnRenamed("node", "id").hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = some.groupBy("bucket", "component").agg(F.count("*").alias("texts"))
     split = sizes.groupBy("bucket").agg(F.count("*").alias("classes"), F.max_by("component", F.struct("texts", "component")).alias("most")).where("classes > 1")
-    return large.join(split.select("bucket", "most").hint("merge"), "bucket")
+    return some.join(split.select("bucket", "most").hint("merge"), "bucket")
 
 
-def links_of_rest(left: DataFrame, contents: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): links that tie the classes of ``left``, found in blocks of about ``WHOLE`` texts, or ``BLOCK`` bytes of run sets, by as many."""
-    rest, size = F.col("component") != F.col("most"), F.length("runs")
+def links_of_rest(left: DataFrame, contents: DataFrame, rows: DataFrame) -> DataFrame:
+    """(a, b): links that tie the classes of ``left``, found in blocks of about ``WHOLE`` texts, or ``BLOCK`` bytes of text, by as many."""
+    rest = F.col("component") != F.col("most")
+    full = written(left.join(contents.select("id", "marks", "bands", "size").hint("merge"), "id"), "rest")
     parts = lambda one: F.greatest(F.ceil(F.sum(one) / WHOLE), F.ceil(F.sum(one * F.col("size")) / BLOCK), F.lit(1))
-    counts = left.join(sets.select("id", size.alias("size")).hint("merge"), "id").groupBy("bucket").agg(parts(F.lit(1)).alias("across"), parts(rest.cast("int")).alias("down"))
-    full = left.join(counts.hint("merge"), "bucket").join(contents.select("id", "marks", "bands").hint("merge"), "id").join(sets.hint("merge"), "id")
-    columns = ("bucket", "id", "component", "marks", "bands", "runs")
+    counts = full.groupBy("bucket").agg(parts(F.lit(1)).alias("across"), parts(rest.cast("int")).alias("down"))
+    full = full.join(counts.hint("merge"), "bucket")
+    columns = ("bucket", "id", "component", "marks", "bands")
     part = lambda count, salt: F.pmod(F.xxhash64("id", F.lit(salt)), count)
     every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
     one = full.where(rest).select(*columns, F.lit(True).alias("rest"), part(F.col("down"), 1).alias("row"), every("across").alias("column"))
     all_ = full.select(*columns, F.lit(False).alias("rest"), every("down").alias("row"), part(F.col("across"), 2).alias("column"))
-    return one.unionByName(all_).groupBy("bucket", "row", "column").applyInArrow(rest_links, "a binary, b binary").distinct()
+    blocks = one.unionByName(all_)
+    wanted = written(blocks.groupBy("bucket", "row", "column").applyInArrow(wanted_of_block, blocks.schema), "wanted")
+    sets = sets_of(rows, wanted.select("id"))
+    return wanted.join(sets.hint("merge"), "id").groupBy("bucket", "row", "column").applyInArrow(links_of_block, "a binary, b binary").distinct()
 
 
 def links_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -256,36 +318,40 @@ def sets_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, runs): the run sets of the contents whose id is in ``ids``."""
     wanted = written(ids.distinct(), "wanted")
     few = maybe_among(rows.select("id", "text"), F.col("id"), wanted).where("__maybe").select("id", "text")
-    found = few.join(wanted.hint("merge"), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+    # One text per content and map task travels, however many copies there are.
+    found = few.groupBy("id").agg(F.first("text").alias("text")).join(wanted.hint("merge"), "id", "left_semi")
     return written(map_blocks(found, lambda: lambda block: [run_sets(block.column(block.schema.get_field_index("text")))], "runs binary", drop=["text"]), "runs")
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
     """One row per content of ``rows`` (key, text, id): id, n_copies, the class's id (class_key, class_texts), and its representative:
     rep_id and rep_key, with rep_rows, the number of rows of that content and key."""
-    sketched = map_blocks(rows, lambda: lambda block: band_keys(block.column(block.schema.get_field_index("text"))), "bands array<long>, marks binary", drop=["text"])
+    sized = rows.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)))
+    sketched = map_blocks(sized, lambda: lambda block: band_keys(block.column(block.schema.get_field_index("text"))), "bands array<long>, marks binary", drop=["text"])
     # One row per content: the exchange carries a content and key from a map task at most once.
-    by_key = sketched.groupBy("id", "key").agg(F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
+    same = [F.first(c).alias(c) for c in ("bands", "marks", "size")]
+    by_key = sketched.groupBy("id", "key").agg(F.count("*").alias("n"), *same)
     least = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "n")).alias("least")
-    contents = written(by_key.groupBy("id").agg(least, F.sum("n").alias("n_copies"), F.first("bands").alias("bands"), F.first("marks").alias("marks")), "contents")
-    entries = contents.select("id", F.explode(F.array_distinct("bands")).alias("bucket"))
+    contents = written(by_key.groupBy("id").agg(least, F.sum("n").alias("n_copies"), *same), "contents")
+    entries = contents.select("id", "marks", F.explode(F.array_distinct("bands")).alias("bucket"))
     # Few buckets have several contents: their entries alone travel.
-    shared = written(entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "buckets")
-    some = written(maybe_among(entries, F.col("bucket"), shared).where("__maybe").select("id", "bucket"), "entries")
-    # Three hubs of each bucket, and its size.
+    shared = written(entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    some = maybe_among(entries, F.col("bucket"), shared.select("bucket")).where("__maybe").drop("__maybe")
+    members = written(some.join(shared.hint("merge"), "bucket"), "members")
+    small = members.where(F.col("n") <= WHOLE).select("bucket", "id", "marks").repartition("bucket").sortWithinPartitions("bucket")
+    edges = written(small.mapInArrow(bucket_forests, "a binary, b binary, bucket long, n long"), "edges")
+    # Three hubs of each larger bucket.
+    large = members.where(F.col("n") > WHOLE).select("bucket", "id")
     hub = lambda k: F.min_by("id", F.xxhash64("id", "bucket", F.lit(k)))
-    buckets = some.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("h0"), F.max("id").alias("h1"), hub(2).alias("h2")).where("n > 1")
-    members = written(some.join(buckets.hint("merge"), "bucket"), "members")
-    marked = members.where(F.col("n") <= WHOLE).select("bucket", "id").join(contents.select("id", "marks").hint("merge"), "id")
-    within = marked.groupBy("bucket").applyInArrow(bucket_pairs, "a binary, b binary")
-    stars = members.where(F.col("n") > WHOLE).select("id", F.explode(F.array_distinct(F.array("h0", "h1", "h2"))).alias("hub")).where("id <> hub")
-    pairs = within.unionByName(stars.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))).distinct()
-    tried = written(pairs, "pairs")
+    hubs = large.groupBy("bucket").agg(F.array_distinct(F.array(F.min("id"), F.max("id"), hub(2))).alias("hubs"))
+    stars = large.join(hubs.hint("merge"), "bucket").select("id", F.explode("hubs").alias("hub")).where("id <> hub")
+    tried = written(edges.select("a", "b").unionByName(stars.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))).distinct(), "pairs")
     classes = components(links_of(tried, sets_of(rows, tried.select(F.col("a").alias("id")).union(tried.select("b")))).select("a", "b"))
-    left = written(unsettled(members, classes), "unsettled")
+    left = written(unsettled(members, edges, classes), "unsettled")
     if not left.isEmpty():
-        more = written(links_of_rest(left, contents, sets_of(rows, left.select("id"))), "links")
-        classes = components(more.unionByName(classes.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        more = written(links_of_rest(left, contents, rows), "links")
+        if not more.isEmpty():
+            classes = components(more.unionByName(classes.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     classed = contents.select("id", "least", "n_copies").join(classes.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     of_class = classed.groupBy("component").agg(F.min(F.struct("least.none", "least.key", "id", "least.n")).alias("rep"), F.count("*").alias("class_texts"))
     return classed.join(of_class, "component").select("id", "n_copies", "class_texts", F.col("rep.key").alias("rep_key"), F.col("rep.id").alias("rep_id"), F.col("rep.n").alias("rep_rows"))
@@ -302,8 +368,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     number of different contents of the class.
     """
     rows = keyed(df, key, text)
-    # Keys and contents only; the skew join splits a content of very many rows.
-    return rows.select("key", "id").join(classes_of(rows), "id").select(F.col("key").alias(key), F.col("rep_key").alias("class_id"), "n_copies", "class_texts")
+    classes = written(classes_of(rows), "classes")
+    # Keys and contents only.
+    return join_unique(rows.select("key", "id"), classes, "id", "n_copies").select(F.col("key").alias(key), F.col("rep_key").alias("class_id"), "n_copies", "class_texts")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
@@ -311,13 +378,14 @@ def op2(spark, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The row with the least key of each class of near-duplicates (null keys last), with all its columns; of several rows with that key and content one stays."""
+    """The row with the least key of each class of near-duplicates (null keys last), with all its columns, whatever their names; of several rows with that key and content one stays."""
     classes = written(classes_of(keyed(docs, key, text)), "classes")
     # A row whose content is in no other row and in a class of its own stays, without an exchange.
     others = written(classes.where("n_copies > 1 or class_texts > 1").select("id"), "others")
-    marked = maybe_among(docs.withColumns({"__id": content(F.col(f"`{text}`")), "__k": F.xxhash64(F.col(f"`{key}`"))}), F.col("__id"), others)
-    reps = classes.where("id = rep_id").select(F.col("id").alias("__id"), F.xxhash64("rep_key").alias("__k"), F.col("rep_rows").alias("__rows"))
-    held = marked.where("__maybe").join(reps.hint("merge"), ["__id", "__k"])
+    own, of_key, count, maybe = fresh(docs.columns, "content", "of_key", "count", "maybe")
+    marked = maybe_among(docs.withColumns({own: content(F.col(f"`{text}`")), of_key: F.xxhash64(F.col(f"`{key}`"))}), F.col(own), others, maybe)
+    reps = classes.where("id = rep_id").select(F.col("id").alias(own), F.xxhash64("rep_key").alias(of_key), F.col("rep_rows").alias(count))
+    held = marked.where(maybe).join(reps.hint("merge"), [own, of_key])
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    several = held.where("__rows > 1").dropDuplicates(["__id"])
-    return marked.where("not __maybe").select(*columns).union(held.where("__rows = 1").select(*columns)).union(several.select(*columns))
+    several = held.where(F.col(count) > 1).dropDuplicates([own])
+    return marked.where(~F.col(maybe)).select(*columns).union(held.where(F.col(count) == 1).select(*columns)).union(several.select(*columns))

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmatch.operators.skew import fresh
+
 #: Bytes of column data that one call of a block function gets, but for a single longer row.
 BLOCK_BYTES = 8 << 20
 
@@ -22,12 +24,6 @@ def blocks(batch: pa.RecordBatch, limit: int = BLOCK_BYTES) -> Iterator[pa.Recor
         yield batch.slice(i, step)
 
 
-def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
-    """``df`` without the columns that an operator is about to write (names compare as Spark's do)."""
-    taken = {n.lower() for n in names}
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
-
-
 def map_blocks(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]], added: str, drop: Iterable[str] = ()) -> DataFrame:
     """Adds columns row by row: ``make()`` is called once a task and gives a function from a block to lists of values.
 
@@ -77,8 +73,9 @@ def maybe_among(df: DataFrame, value: Column, wanted: DataFrame, name: str = "__
     of = slot(F.col(f"`{wanted.columns[0]}`"))
     pages = wanted.groupBy(F.floor(of / PAGE).alias("__page")).agg(F.bitmap_construct_agg(of % PAGE).alias("__bits"))
     at = slot(value)
-    held = df.join(F.broadcast(pages), F.floor(at / PAGE) == F.col("__page"), "left")
-    byte = F.conv(F.hex(F.substring("__bits", F.floor(at % PAGE / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    page, held_bits = fresh(df.columns, "page", "bits")
+    held = df.join(F.broadcast(pages.select(F.col("__page").alias(page), F.col("__bits").alias(held_bits))), F.floor(at / PAGE) == F.col(page), "left")
+    byte = F.conv(F.hex(F.substring(held_bits, F.floor(at % PAGE / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     hit = F.pmod(F.floor(byte / F.pow(F.lit(2.0), at % 8)), F.lit(2)) == 1
     return held.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(hit, F.lit(False)).alias(name))
 

@@ -155,6 +155,28 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, whole):
     assert {x.doc_id: x.class_id for x in got.collect()} == dict(enumerate(root))
 
 
+def test_forest_spans_likely_pairs():
+    import numpy as np
+
+    r = np.random.RandomState(3)
+    for _ in range(30):
+        n, registers = int(r.randint(2, 30)), near_dedup.BANDS * near_dedup.ROWS
+        base = r.randint(0, 255, (4, registers))
+        marks = np.stack([np.stack([np.where(r.rand(registers) < r.choice([0.05, 0.2, 0.3]), r.randint(0, 255, registers), base[r.randint(4)])] * 2) for _ in range(n)]).astype(np.uint8)
+        ids = [hashlib.md5(bytes([i])).digest() for i in range(n)]
+        likely = [(i, j) for i in range(n) for j in range(i) if (marks[i, 0] == marks[j, 0]).mean() >= near_dedup.LIKELY]
+        pairs = near_dedup.forest(ids, marks)
+        assert {tuple(sorted(p, reverse=True)) for p in pairs} <= set(likely) and len(pairs) < n
+
+        def classes(links):
+            root = list(range(n))
+            for a, b in links:
+                root = [root[a] if x == root[b] else x for x in root]
+            return [root.index(x) for x in root]
+
+        assert classes(pairs) == classes(likely)
+
+
 def test_decontamination_recall(documents, spark):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
     tables = decontamination.Tables([(b.item_id, b.text) for b in bench])
