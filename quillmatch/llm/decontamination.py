@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmatch.llm.words import mix, utf8, words
+from quillmatch.operators.skew import fresh
 
 REPEATS, SAMPLES, RATIO = 8, 4, 0.15
 RUN, ACROSS, SHARE, SHORT, HITS, LEFT = 8, 32, 24, 40, 2 << 20, (5, 3)
@@ -399,10 +400,10 @@ def searcher(items: list, schema):
 
 
 def clean_of(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without the rows that hold a passage of an item, whatever their keys are."""
+    """``docs`` without the rows that hold a passage of an item, whatever their keys and the names of their columns are."""
     from quillmatch.llm.rows import map_blocks
 
-    kept = docs
+    kept, [leaks] = docs, fresh(docs.columns, "leaks")
     for items in item_blocks(benchmark, "item_id", "text"):
 
         def make(items=items):
@@ -419,7 +420,7 @@ def clean_of(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataF
 
             return run
 
-        kept = map_blocks(kept, make, "__leaks boolean").where("not __leaks").drop("__leaks")
+        kept = map_blocks(kept, make, f"`{leaks}` boolean").where(~F.col(leaks)).drop(leaks)
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

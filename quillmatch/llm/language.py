@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from quillmatch.llm.rows import blocks, map_blocks
 from quillmatch.llm.words import utf8
+from quillmatch.operators.skew import fresh
 
 BUCKETS, MOST_LANGUAGES, CERTAIN, STEP = 1 << 14, 1_000, 0.6, 2 << 20
 #: Letters and bytes beyond ASCII stand for themselves, all else for a space.
@@ -142,8 +143,8 @@ def learn(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     return Model([r.lang for r in summed], counts)
 
 
-def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds lang_pred, score and ambiguous."""
+def predict(df: DataFrame, model: Model, text: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
+    """Adds the predicted language, its score and the flag of ambiguous texts under ``names``."""
 
     def make():
         def run(block):
@@ -164,7 +165,7 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
         return run
 
-    return map_blocks(df, make, "lang_pred string, score double, ambiguous boolean")
+    return map_blocks(df, make, "`{}` string, `{}` double, `{}` boolean".format(*names))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
@@ -174,6 +175,7 @@ def op5(spark, sf_dir: str) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language is recognised: neither ``und`` nor ambiguous. Learned from the docs themselves."""
-    known = predict(docs.withColumn("__text", F.col("text")), learn(docs), "__text").where("lang_pred <> 'und' and not ambiguous")
+    """The rows of ``docs`` whose language is recognised: neither ``und`` nor ambiguous, with all their columns, whatever their names. Learned from the docs themselves."""
+    names = tuple(fresh(docs.columns, "lang_pred", "score", "ambiguous"))
+    known = predict(docs, learn(docs), "text", names).where((F.col(names[0]) != "und") & ~F.col(names[2]))
     return known.select(*[F.col(f"`{c}`") for c in docs.columns])

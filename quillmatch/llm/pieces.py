@@ -6,8 +6,8 @@ independently of each other. Each distinct chunk is segmented once, by the libra
 position of the chunk. Decoding works the same way: what a chunk's ids decode to is found once.
 
 ``chunks_are_independent`` proves the premise from the pieces of a model; without it whole texts go to the library. The table belongs
-to a task and holds twice ``table_limit`` chunks at most: beyond the limit a new generation begins, into which chunks move from the
-old one as they occur again. No exchange is needed.
+to a task and holds about twice ``table_bytes`` at most: beyond the limit a new generation begins, into which chunks move from the
+old one as they occur again. Chunks of over ``LONG`` characters (texts without spaces) never enter it. No exchange is needed.
 
 Cases: null text counts as empty (the end id alone); repeated rows stay; empty tables give empty results; a column of
 ``df`` with the name of a result column is replaced.
@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from quillmatch.llm.rows import map_blocks, texts
 
 MARK = "▁"
+#: Characters of the longest chunk in the table; bytes that an entry takes besides its characters; bytes of a generation.
+LONG, ENTRY, TABLE_BYTES = 64, 250, 40 << 20
 CHUNK = re.compile(r" +[^ \n]*|[^ \n]+|\n+")
 
 
@@ -38,14 +40,17 @@ def chunks_are_independent(processor) -> bool:
 class ChunkTable:
     """For each distinct chunk its ids, as decimal text; ``odd`` has what a chunk decodes to where that isn't the chunk itself."""
 
-    def __init__(self, path: str, limit: int):
+    def __init__(self, path: str, limit: int = TABLE_BYTES):
         import sentencepiece
 
         self.processor = p = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.limit = limit
+        self.limit, self.size = limit, 0
         self.ids: dict[str, str] = {}
         self.old: dict[str, str] = {}
         self.odd: dict[str, str] = {}
+        #: The same two for the long chunks of one text.
+        self.long: dict[str, str] = {}
+        self.long_odd: dict[str, str] = {}
         self.end = str(p.eos_id())
         self.whole = not chunks_are_independent(p)
         self.feed = p.encode("\n")
@@ -69,9 +74,11 @@ class ChunkTable:
     def learn(self, chunks: list[str]) -> None:
         """Segments those chunks that aren't in the table, each once."""
         table, old, new = self.ids, self.old, []
+        self.long, self.long_odd = {}, {}
         for c in {c for c in chunks if c not in table}:
             if c in old:
                 table[c] = old[c]
+                self.size += ENTRY + len(c) + len(old[c])
             else:
                 new.append(c)
         # The library puts a mark before what it gets; it stands for a chunk's first mark, or comes with a line feed and goes with it.
@@ -81,36 +88,47 @@ class ChunkTable:
                 ids = self.feed[:-1]  # a mark alone
             elif chunk[0] != " ":
                 ids = ids[len(self.feed) :]
-            table[chunk] = " ".join(map(str, ids))
-            if (back := self.decoded(ids)) != chunk:
+            shown, back = " ".join(map(str, ids)), self.decoded(ids)
+            if len(chunk) > LONG:
+                self.long[chunk] = shown
+                if back != chunk:
+                    self.long_odd[chunk] = back
+                continue
+            table[chunk] = shown
+            self.size += ENTRY + len(chunk) + len(shown)
+            if back != chunk:
                 self.odd[chunk] = back
 
     def turn(self) -> None:
         """A new generation, if the table is full; call it between texts."""
-        if len(self.ids) > self.limit:
-            self.old, self.ids = self.ids, {}
+        self.long, self.long_odd = {}, {}
+        if self.size > self.limit:
+            self.old, self.ids, self.size = self.ids, {}, 0
             self.odd = {c: t for c, t in self.odd.items() if c in self.old}
 
+    def shown(self, chunks: list[str]) -> str:
+        parts = map(self.ids.__getitem__, chunks) if not self.long else (self.long[c] if c in self.long else self.ids[c] for c in chunks)
+        return " ".join([*filter(None, parts), self.end])
+
     def encode(self, text: str) -> str:
         """The ids of a text as decimal numbers with spaces between, the end id last."""
         chunks = self.chunks(text)
         self.learn(chunks)
-        return " ".join([*filter(None, map(self.ids.__getitem__, chunks)), self.end])
+        return self.shown(chunks)
 
     def round_trip(self, text: str) -> tuple[str, str]:
         """(ids as in encode(), the text that they decode to)."""
         chunks = self.chunks(text)
         self.learn(chunks)
-        shown = " ".join([*filter(None, map(self.ids.__getitem__, chunks)), self.end])
-        odd = self.odd
-        return shown, "".join([odd.get(c, c) for c in chunks] if odd else chunks)[1:]  # without the dummy prefix
+        odd = self.odd | self.long_odd if self.long_odd else self.odd
+        return self.shown(chunks), "".join([odd.get(c, c) for c in chunks] if odd else chunks)[1:]  # without the dummy prefix
 
 
-def encode_pieces(df: DataFrame, model: str, text: str = "text", table_limit: int = 300_000) -> DataFrame:
+def encode_pieces(df: DataFrame, model: str, text: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
     """Adds ids (array<int>, with the end id) and n_tokens."""
 
     def make():
-        table = ChunkTable(model, table_limit)
+        table = ChunkTable(model, table_bytes)
 
         def run(block):
             ids = []
@@ -136,11 +154,11 @@ def decode_pieces(df: DataFrame, model: str, ids: str = "ids", to: str = "decode
     return map_blocks(df, make, f"`{to}` string")
 
 
-def piece_digests(df: DataFrame, model: str, text: str = "text", table_limit: int = 300_000) -> DataFrame:
+def piece_digests(df: DataFrame, model: str, text: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
     """Adds n_tokens, ids_sha256 and decoded_sha256 in place of ``text``: encoding and decoding in one pass, so that neither ids nor decoded texts leave the worker."""
 
     def make():
-        table = ChunkTable(model, table_limit)
+        table = ChunkTable(model, table_bytes)
 
         def run(block):
             n, ids, decoded = [], [], []

@@ -58,6 +58,31 @@ def test_stages_keep_columns_and_survive_odd_rows(spark):
         corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
 
 
+CLASHING = ["score", "lang_pred", "ambiguous", "__text", "__masked", "masked", "__leaks", "leaks", "__id", "__k", "__rows", "__maybe", "maybe", "content", "count", "of_key", "page", "bits", "bands"]
+
+
+def test_stages_keep_clashing_columns_and_choose_rows(spark, documents):
+    import corpus_pipeline
+
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    own = documents.where("lang = 'en' and length(text) > 500").orderBy("doc_id").limit(30).select("doc_id", "text", "lang", "source", "n_chars")
+    first, second = [r.text for r in own.orderBy("doc_id").limit(2).collect()]
+    more = [(1_000_001, None, "en", "s", 0), (1_000_002, "12 34 ??", "en", "s", 8), (1_000_003, first, "en", "s", 1), (1_000_004, first + " and a few words more", "en", "s", 1), (1_000_005, f"{second[:400]} {item} {second[400:500]}", "en", "s", 1)]
+    more += [(1_000_006, "Please write to someone@example.org about the herons that wait near the old mill in the rain today, before they leave.", "en", "s", 1)]
+    docs = own.unionByName(spark.createDataFrame(more, own.schema)).withColumns({c: F.concat(F.lit(f"{c} "), F.col("doc_id")) for c in CLASHING})
+    kept = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs.columns
+        docs = near_dedup.written(stage(spark, docs, SF))
+        assert docs.columns == before and docs.where(" or ".join(f"`{c}` <> concat('{c} ', doc_id)" for c in CLASHING)).isEmpty()
+        kept.append({r.doc_id for r in docs.select("doc_id").collect()})
+    assert not {1_000_001, 1_000_002} & kept[0] and {1_000_003, 1_000_005, 1_000_006} <= kept[0]
+    assert not {1_000_003, 1_000_004} & kept[1] and 1_000_005 in kept[1]
+    assert 1_000_005 not in kept[2] and kept[2] == kept[3]
+    masked = docs.where("doc_id = 1000006").first()
+    assert masked.text.startswith("Please write to [EMAIL] about") and masked.n_chars == len(masked.text)
+
+
 def fuzz(alphabet, n, most, seed=1):
     r = random.Random(seed)
     return ["".join(r.choice(alphabet) for _ in range(r.randint(0, most))) for _ in range(n)]
@@ -69,7 +94,7 @@ MARKS = ["a", "ing", " ", "  ", "\n", "\t", "é", "é", "Σ", "İ", "<|endoftext
 def test_token_counts_equal_the_library():
     from tokenizers import Tokenizer
 
-    t, table = Tokenizer.from_file(P.path("word_bpe_49k.json")), token_counts.PieceTable(P.path("word_bpe_49k.json"), 50)
+    t, table = Tokenizer.from_file(P.path("word_bpe_49k.json")), token_counts.PieceTable(P.path("word_bpe_49k.json"), 9_000)
     for s in fuzz(MARKS, 500, 25):
         assert table.count(s) == len(t.encode(s, add_special_tokens=False).ids), s
 
@@ -77,13 +102,39 @@ def test_token_counts_equal_the_library():
 def test_pieces_equal_the_library():
     import sentencepiece
 
-    sp, table = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model")), pieces.ChunkTable(P.path("piece_bpe_32k.model"), 50)
+    sp, table = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model")), pieces.ChunkTable(P.path("piece_bpe_32k.model"), 9_000)
     for s in fuzz(MARKS, 500, 25):
         ids = [*sp.encode(s), sp.eos_id()]
         assert table.round_trip(s) == (" ".join(map(str, ids)), sp.decode(ids)), s
         table.turn()
 
 
+def test_tables_are_bounded_by_bytes():
+    """Texts without spaces, and many words."""
+    limit, r = 200_000, random.Random(8)
+    tokens, chunks = token_counts.PieceTable(P.path("word_bpe_49k.json"), limit), pieces.ChunkTable(P.path("piece_bpe_32k.model"), limit)
+    assert tokens.by_words and tokens.ascii_rule and not chunks.whole
+    texts = ["".join(r.choice("語言模型的訓練資料一二三") for _ in range(2000)) for _ in range(40)] + [" ".join(f"{r.randrange(10**9):x}" for _ in range(300)) for _ in range(40)]
+    for t in texts:
+        assert tokens.count(t) == tokens.of_text(t)
+        chunks.round_trip(t)
+        chunks.turn()
+        for table in (tokens.words, tokens.old, tokens.pieces, chunks.ids, chunks.old):
+            assert sum(len(k) + len(str(v)) + 200 for k, v in table.items()) < 3 * limit and max(map(len, table), default=0) <= 64
+
+
+def test_other_tokenizers_go_to_the_library(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    t = Tokenizer(models.WordLevel({"a": 0, "b": 1, "[UNK]": 2, " ": 3}, unk_token="[UNK]"))
+    t.pre_tokenizer = pre_tokenizers.Split("b", "isolated")
+    t.save(str(tmp_path / "t.json"))
+    table = token_counts.PieceTable(str(tmp_path / "t.json"))
+    assert not table.by_words
+    for s in ("a b a", "abab", "", " b "):
+        assert table.count(s) == len(t.encode(s, add_special_tokens=False).ids)
+
+
 def test_pii_equals_the_rules():
     anchors = pii.automaton()
     alphabet = ["a@b.c", "@", ".", "a.b", "-", "+1 555 123 4567", "+", "1.2.3.4", "4111111111111111", " ", "12", "255", "300", "(", ")", "%", "é"]
