@@ -10,35 +10,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmatch.llm import decontamination, language, near_dedup, pieces, pii
+from quillmatch.operators.skew import fresh
 from quillmatch.shared import written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised."""
+    """Documents whose language is recognised.
+
+    Null texts, empty ones and texts without a letter go, and so do ambiguous ones; copies share their fate. Where no row has a lang all go. An empty table stays empty; extra
+    columns stay as they are, whatever their names."""
     return language.accepted(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the least doc_id."""
+    """One document of each group of near-duplicates, that of the least doc_id (null last).
+
+    Null and empty texts are copies of each other; of rows equal in doc_id and text one stays. An empty table stays empty; extra columns stay as they are."""
     return near_dedup.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of a benchmark item."""
+    """Documents without a passage of a benchmark item.
+
+    Null and empty texts stay, copies share their fate, an empty table stays empty; without items all documents stay. Extra columns stay as they are."""
     return decontamination.clean_of(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data in their texts replaced by its kind. n_chars counts the new text; a null text stays null."""
-    found = pii.find_pii(docs.withColumn("__text", F.col("text")), "__text", spans=None, masked="__masked")
-    new = {"text": F.when(F.col("text").isNotNull(), F.col("__masked"))}
+    """All documents, with personal data in their texts replaced by its kind. n_chars counts the new text.
+
+    A null text stays null and keeps its n_chars; rows and all other columns, whatever their names, stay as they are."""
+    [masked] = fresh(docs.columns, "masked")
+    found = pii.find_pii(docs, "text", spans=None, masked=masked)
+    new = {"text": F.when(F.col("text").isNotNull(), F.col(masked))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("text").isNotNull(), F.length("__masked")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.col("text").isNotNull(), F.length(masked)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return found.withColumns(new).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens and digests of the piece ids and of what they decode to."""
+    """doc_id, source (if there), n_tokens and digests of the piece ids and of what they decode to, for every row.
+
+    A null text counts as empty: the end id alone. Other columns aren't read."""
     import public_tokenizers
 
     columns = [c for c in ("doc_id", "source", "text") if c in docs.columns]
