@@ -1,14 +1,15 @@
 """Media columns as MPEG transport streams.
 
 Writing: the payload (UTF-8 bytes, then zero bytes up to a positive multiple of 64) is cut into access units of
-``UNIT`` bytes. Each unit is one elementary packet with a timestamp, its first transport packet is marked as a random-access
-point, and its last is filled up with adaptation-field stuffing. A program association table and a program map table lead.
+``UNIT`` bytes. Each unit is one elementary packet with a presentation timestamp; its first transport packet is marked as a random-access
+point and carries the clock reference, and its last is filled up with adaptation-field stuffing. A program association table and a program map table lead.
 
-Reading: the stored bytes are parsed from the tables on: sync bytes, table checksums, the stream's packet id,
-continuity counters, adaptation fields, then the elementary packets are put together again by their stated lengths.
+Reading: the stored bytes are parsed from the tables on: sync bytes, table sections (over several packets too) and their checksums, the first program's first stream,
+continuity counters (with stated discontinuities, packets sent twice, and packets without payload), adaptation fields, then the elementary packets
+are put together again by their stated lengths, or up to the next one where none is stated. A packet's timestamp is read if its flags say that it has one.
 
 Cases: null text counts as empty (64 zero bytes); a stream that is damaged gives ``intact`` false and null payload
-instead of an error; repeated rows stay; a column of ``df`` with the name of a result column is replaced.
+instead of an error, however it is damaged; repeated rows stay; a column of ``df`` with the name of a result column is replaced.
 """
 
 from __future__ import annotations
@@ -23,6 +24,9 @@ from quillmatch.llm.rows import map_blocks, texts
 
 PACKET, UNIT, PAD, TICKS = 188, 16_384, 64, 3_600
 MAP_PID, STREAM_PID, STREAM_ID, STREAM_TYPE = 0x1000, 0x100, 0xBD, 0x06  # private data
+TIME = (1 << 33) - 1
+# Ids of elementary packets that have no optional header (ISO/IEC 13818-1): fixed values.
+HEADLESS = frozenset((0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF))
 
 
 def crc32_mpeg(data: bytes) -> int:
@@ -58,13 +62,19 @@ def timestamp(ticks: int) -> bytes:
     return bytes([0x21 | ticks >> 29 & 0x0E, ticks >> 22 & 255, ticks >> 14 & 254 | 1, ticks >> 7 & 255, ticks << 1 & 254 | 1])
 
 
+def clock_reference(ticks: int) -> bytes:
+    """33 bits of 90 kHz ticks, six reserved bits, and nine bits of 27 MHz ticks that are 0."""
+    return (ticks << 15 | 0x7E00).to_bytes(6, "big")
+
+
 def mux(payload: bytes) -> bytes:
     """A transport stream of ``payload``."""
     units, counter = [TABLES], 0
     for k, at in enumerate(range(0, len(payload), UNIT)):
+        clock = k * TICKS & TIME
         data = payload[at : at + UNIT]
-        data = b"\0\0\1" + bytes([STREAM_ID]) + (len(data) + 8).to_bytes(2, "big") + b"\x84\x80\x05" + timestamp(k * TICKS & (1 << 33) - 1) + data
-        rest = max(0, len(data) - 182)  # the first packet has an adaptation field of two bytes at least
+        data = b"\0\0\1" + bytes([STREAM_ID]) + (len(data) + 8).to_bytes(2, "big") + b"\x84\x80\x05" + timestamp(clock + TICKS & TIME) + data
+        rest = max(0, len(data) - 176)  # the first packet has an adaptation field of eight bytes at least
         n = 1 + -(-rest // 184)
         packets = np.full((n, PACKET), 255, np.uint8)
         packets[:, 0] = 0x47
@@ -74,8 +84,9 @@ def mux(payload: bytes) -> bytes:
         packets[:, 3] = 0x10 | (np.arange(counter, counter + n) & 15)
         counter += n
         packets[0, 3] |= 0x20
-        first = min(182, len(data))
-        packets[0, 4], packets[0, 5] = 183 - first, 0x40  # random access
+        first = min(176, len(data))
+        packets[0, 4], packets[0, 5] = 183 - first, 0x50  # random access, clock reference
+        packets[0, 6:12] = np.frombuffer(clock_reference(clock), np.uint8)
         packets[0, PACKET - first :] = np.frombuffer(data, np.uint8, first)
         body = np.frombuffer(data, np.uint8, rest, first)
         full = rest // 184
@@ -90,12 +101,27 @@ def mux(payload: bytes) -> bytes:
     return b"".join(units)
 
 
-def section_of(packet: bytes) -> bytes | None:
-    """The body of a packet's table section, or None if its checksum is wrong."""
-    start = 5 + packet[4]
-    length = (packet[start + 1] & 15) << 8 | packet[start + 2]
-    section = packet[start : start + 3 + length]
-    return section[8:-4] if len(section) == 3 + length and crc32_mpeg_cached(section) == 0 else None
+def bodies(packets: np.ndarray) -> np.ndarray:
+    """Where each packet's payload begins: beyond its end for packets without one, or with a field that is too long."""
+    control = packets[:, 3] >> 4 & 3
+    begin = np.where(control & 2, 5 + packets[:, 4].astype(np.int64), 4)
+    return np.where((control & 1 == 0) | (begin > PACKET), PACKET + 1, begin)
+
+
+def section_of(packets: np.ndarray, table: int) -> bytes | None:
+    """The body of the first table section of ``packets``, which are of one id, if it is whole and its checksum holds."""
+    held = None
+    for packet, begin in zip(packets, bodies(packets).tolist()):
+        body = packet[begin:].tobytes()
+        if packet[1] & 0x40 and body:
+            held = body[1 + body[0] :] if held is None else held + body[1:]
+        elif held is not None:
+            held += body
+        if held is not None and len(held) >= 3:
+            section = held[: 3 + ((held[1] & 15) << 8 | held[2])]
+            if len(section) >= 12 and len(section) == 3 + ((held[1] & 15) << 8 | held[2]):
+                return section[8:-4] if section[0] == table and crc32_mpeg_cached(section) == 0 else None
+    return None
 
 
 _seen: dict[bytes, int] = {}
@@ -109,45 +135,85 @@ def crc32_mpeg_cached(section: bytes) -> int:
     return _seen[section]
 
 
+_streams: dict[bytes, int | None] = {}
+
+
+def stream_of(packets: np.ndarray, pids: np.ndarray) -> int | None:
+    """The packet id of the first stream of the first program."""
+    lead = packets[:2].tobytes()  # most often both tables
+    if lead in _streams:
+        return _streams[lead]
+    programs = section_of(packets[pids == 0], 0) or b""
+    # programs are of four bytes each; number 0 isn't one
+    at = next(((programs[i + 2] & 31) << 8 | programs[i + 3] for i in range(0, len(programs) - 3, 4) if programs[i] or programs[i + 1]), None)
+    program = b"" if at is None else section_of(packets[pids == at], 2) or b""
+    skip = 4 + ((program[2] & 15) << 8 | program[3]) if len(program) >= 4 else 0
+    found = (program[skip + 1] & 31) << 8 | program[skip + 2] if skip and len(program) >= skip + 5 else None
+    if len(packets) >= 2 and pids[0] == 0 and pids[1] == at and section_of(packets[:1], 0) and section_of(packets[1:2], 2):
+        if len(_streams) > 100:
+            _streams.clear()
+        _streams[lead] = found
+    return found
+
+
 def demux(stream: bytes | None) -> dict | None:
-    """payload, packets, pts and random_access (offsets into payload of the units that begin at such a point); None if damaged."""
+    """payload, packets, pts (None for units without) and random_access (offsets into payload of the units that begin at such a point); None if damaged."""
     if not stream or len(stream) % PACKET:
         return None
     packets = np.frombuffer(stream, np.uint8).reshape(-1, PACKET)
     if (packets[:, 0] != 0x47).any() or (packets[:, 1] & 0x80).any():
         return None
     pids = (packets[:, 1].astype(np.int32) & 31) << 8 | packets[:, 2]
-    lead = np.flatnonzero(pids == 0)
-    if not len(lead) or not (programs := section_of(packets[lead[0]].tobytes())):
+    pid = stream_of(packets, pids)
+    own = packets[pids == pid] if pid is not None else packets[:0]
+    control = own[:, 3] >> 4 & 3
+    if (control == 0).any() or (own[:, 3] & 0xC0).any():  # reserved, scrambled
         return None
-    at = (programs[2] & 31) << 8 | programs[3]
-    maps = np.flatnonzero(pids == at)
-    if not len(maps) or not (program := section_of(packets[maps[0]].tobytes())):
+    own = own[control & 1 > 0]  # the others have no payload, and the counter stays
+    begin = bodies(own)
+    if not len(own) or (begin > PACKET).any():
         return None
-    skip = 4 + ((program[2] & 15) << 8 | program[3])
-    pid = (program[skip + 1] & 31) << 8 | program[skip + 2]
-    own = packets[pids == pid]
-    if not len(own) or ((own[:, 3] & 15) != (np.arange(len(own)) + (own[0, 3] & 15)) % 16).any():
+    has_flags = (own[:, 3] & 0x20 > 0) & (own[:, 4] > 0)
+    flags = np.where(has_flags, own[:, 5], 0)
+    steps = (own[1:, 3].astype(np.int32) - own[:-1, 3]) & 15
+    jump = flags[1:] & 0x80 > 0
+    twice = (steps == 0) & ~jump
+    if ((steps != 1) & ~jump & ~twice).any():
         return None
-    has_field = (own[:, 3] & 0x20) > 0
-    begin = np.where(has_field, 5 + own[:, 4].astype(np.int32), 4)
+    if twice.any():
+        for i in np.flatnonzero(twice).tolist():
+            if i and twice[i - 1] or begin[i] != begin[i + 1] or (own[i, begin[i] :] != own[i + 1, begin[i] :]).any():
+                return None
+        once = np.concatenate([[True], ~twice])
+        own, begin, flags = own[once], begin[once], flags[once]
     data = own[np.arange(PACKET) >= begin[:, None]].tobytes()
     starts = np.flatnonzero(own[:, 1] & 0x40)
-    offsets = np.concatenate([[0], np.cumsum(PACKET - begin)])[starts]
-    random = has_field[starts] & (own[starts, 4] > 0) & ((own[starts, 5] & 0x40) > 0)
+    offsets = np.concatenate([[0], np.cumsum(PACKET - begin)])
+    random = flags[starts] & 0x40 > 0
     parts, pts, points, done = [], [], [], 0
-    for k, i in enumerate(offsets.tolist()):
-        if data[i : i + 3] != b"\0\0\1":
+    for k, (i, stop) in enumerate(zip(offsets[starts].tolist(), [*offsets[starts[1:]].tolist(), len(data)])):
+        if stop - i < 9 or data[i : i + 3] != b"\0\0\1":
+            return None
+        length, head, t = int.from_bytes(data[i + 4 : i + 6], "big"), 9 + data[i + 8], None
+        end = i + 6 + length if length else stop
+        if data[i + 3] in HEADLESS:
+            head = 6
+        elif data[i + 6] & 0xC0 != 0x80:
+            return None
+        elif data[i + 7] & 0x80:
+            b = data[i + 9 : i + 14]
+            if data[i + 8] < 5 or len(b) < 5 or not b[0] & b[2] & b[4] & 1:
+                return None
+            t = (b[0] & 0x0E) << 29 | b[1] << 22 | (b[2] & 254) << 14 | b[3] << 7 | b[4] >> 1
+        if end > stop or i + head > end:
             return None
-        end = i + 6 + int.from_bytes(data[i + 4 : i + 6], "big")
-        body = data[i + 9 + data[i + 8] : end]
-        t = data[i + 9 : i + 14]
-        pts.append((t[0] & 0x0E) << 29 | t[1] << 22 | (t[2] & 254) << 14 | t[3] << 7 | t[4] >> 1)
+        body = data[i + head : end]
+        pts.append(t)
         if random[k]:
             points.append(done)
         done += len(body)
         parts.append(body)
-    return {"payload": b"".join(parts), "packets": len(packets), "pts": pts, "random_access": points}
+    return {"payload": b"".join(parts), "packets": len(packets), "pts": pts, "random_access": points} if parts else None
 
 
 def write_streams(df: DataFrame, text: str = "text", to: str = "media") -> DataFrame:
@@ -179,7 +245,7 @@ def read_streams(df: DataFrame, media: str = "media") -> DataFrame:
 def stream_features(df: DataFrame, media: str = "media") -> DataFrame:
     """Reads the stored streams back and describes each in place of ``media``, so that payloads don't leave the worker.
 
-    feature: packets, units, random-access points, last timestamp, sum of the payload's bytes and their distinct values.
+    feature: packets, units, random-access points, latest timestamp, sum of the payload's bytes and their distinct values. pts and random_access are stored as read.
     """
 
     def make():
@@ -188,19 +254,19 @@ def stream_features(df: DataFrame, media: str = "media") -> DataFrame:
             for m in block.column(block.schema.get_field_index(media)).to_pylist():
                 got = demux(m)
                 if got is None:
-                    rows.append((None, None, None, m and len(m), m and hashlib.sha256(m).hexdigest(), "damaged"))
+                    rows.append((None, None, None, None if m is None else len(m), None if m is None else hashlib.sha256(m).hexdigest(), "damaged", None, None))
                     continue
                 p = got["payload"]
                 counts = np.bincount(np.frombuffer(p, np.uint8), minlength=256)
-                feature = f"packets={got['packets']};units={len(got['pts'])};random={len(got['random_access'])};pts={got['pts'][-1]};sum={int(counts @ np.arange(256))};values={int((counts > 0).sum())}"
-                rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature))
-            return list(map(list, zip(*rows)))
+                feature = f"packets={got['packets']};units={len(got['pts'])};random={len(got['random_access'])};pts={max((t for t in got['pts'] if t is not None), default='none')};sum={int(counts @ np.arange(256))};values={int((counts > 0).sum())}"
+                rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature, got["pts"], got["random_access"]))
+            return list(map(list, zip(*rows))) if rows else [[]] * 8
 
         return run
 
-    return map_blocks(df, make, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", drop=[media])
+    return map_blocks(df, make, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pts array<long>, random_access array<long>", drop=[media])
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return stream_features(write_streams(docs)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return stream_features(write_streams(docs)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pts", "random_access")
