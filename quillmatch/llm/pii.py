@@ -2,8 +2,8 @@
 
 Method: an Aho-Corasick automaton runs once over a text and reports at-signs, digits, schemes and identifier cues. From
 each anchor a local parser expands to the run of characters that a value of its kind may have, finds the value's bounds
-in that run alone, and validates it. A value of a base kind lies within one such run, so the runs give what the
-kind's rule gives over the whole text.
+in that run alone, and validates it: an address is expanded to both sides of its at-sign, numbers are parsed within a run of number characters. A value of a base kind lies within one
+such run, so the runs give what the kind's rule gives over the whole text. No parser reads a run more than a fixed number of times, so long texts of any shape take time in proportion.
 
 Base kinds: email, ip, card (Luhn), phone. Added kinds: address (a scheme's URL with a valid host) and account (an
 identifier after a cue word, or an IBAN whose check digits hold).
@@ -25,18 +25,20 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "address", "account")
 MASKED = (*BASE_KINDS, "account")
 
-# The rules of the base kinds, and the characters that their values consist of: fixed values.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# The rules of the base kinds after their anchors, and the characters that their values consist of: fixed values.
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # begins where a run of digits does: later in it the rule holds no better
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NUMBER_CHARACTERS = frozenset(" ().0123456789+-")
-EMAIL_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@")
-CUES = ("iban", "account", "acct", "passport", "konto", "compte", "cuenta")
+LOCAL_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+CUES = ("iban", "account", "acct", "passport", "konto", "kontonummer", "compte", "cuenta", "ssn", "social security", "tax id", "steuernummer", "member id", "customer id", "policy number", "driver license", "routing", "dni", "nif")
 
 HOST = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")
 AFTER_SCHEME = re.compile(r"[^\s<>\"'`|{}\\^\[\]]*")
-AFTER_CUE = re.compile(r"(?:\s?(?:no|nr|number|num)\b)?[.:#=\s]{0,4}([A-Z]{0,4}[0-9](?:[ -]?[A-Z0-9]){4,33})", re.ASCII)
+AUTHORITY = re.compile(r"[^/?#]*")
+TRAILING = frozenset(".,;:!?)&*%$#")
+AFTER_CUE = re.compile(r"(?:\s?(?i:no|nr|number|num)\b)?[.:#=\s]{0,4}([A-Z]{0,4}[0-9](?:[ -]?[A-Z0-9]){4,33})", re.ASCII)
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}")
 
 
@@ -76,9 +78,8 @@ def automaton():
         a.add_word(d, "number")
     a.add_word("@", "email")
     a.add_word("://", "address")
-    for cue in CUES:
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            a.add_word(form, "account")
+    for cue in CUES:  # the text's letters are lower-cased for the automaton
+        a.add_word(cue, "account")
     a.make_automaton()
     return a
 
@@ -105,16 +106,33 @@ def numbers(text: str, start: int, end: int, spans: list) -> None:
                 spans.append((start + m.start(), kind, start + m.end()))
 
 
-def address(text: str, scheme_end: int, spans: list, least: int) -> int:
-    """Expands around ``://``, which ends before ``scheme_end``; returns where the URL ends."""
+def email(text: str, at: int, least: int, spans: list) -> int:
+    """Expands around the at-sign at ``at``, to the left as far as ``least``; returns where the value ends, or ``least``."""
+    start = run_start(text, at, least, LOCAL_CHARACTERS)
+    found = DOMAIN.match(text, at + 1) if start < at else None
+    if not found:
+        return least
+    spans.append((start, "email", found.end()))
+    return found.end()
+
+
+def url_end(text: str, at: int) -> int:
+    """Where a URL that has begun before ``at`` ends."""
+    end = AFTER_SCHEME.match(text, at).end()
+    while end > at and text[end - 1] in TRAILING:
+        end -= 1
+    return end
+
+
+def address(text: str, scheme_end: int, end: int, spans: list, least: int) -> int:
+    """Expands around ``://``, which ends before ``scheme_end``; returns where the URL ends, or ``scheme_end``."""
     start = scheme_end - 3
     while start > least and (c := text[start - 1]).isascii() and (c.isalnum() or c in "+.-"):
         start -= 1
     while start < scheme_end - 3 and not text[start].isalpha():
         start += 1
-    end = scheme_end + len(AFTER_SCHEME.match(text, scheme_end)[0].rstrip(".,;:!?)&*%$#"))
-    authority = re.split(r"[/?#]", text[scheme_end:end], maxsplit=1)[0].rpartition("@")[2]
-    host = re.sub(r":[0-9]*\Z", "", authority)
+    authority = AUTHORITY.match(text, scheme_end, max(scheme_end, end))[0].rpartition("@")[2]
+    host = re.sub(r":[0-9]*\Z", "", authority[-260:])
     if start < scheme_end - 3 and len(host) <= 253 and HOST.fullmatch(host) and not (IP.fullmatch(host) and not is_ip(host)):
         spans.append((start, "address", end))
         return end
@@ -143,8 +161,9 @@ def account(text: str, cue_end: int, spans: list) -> int:
 def find(text: str, anchors) -> list[tuple[int, str, int]]:
     """(start, kind, end) of every value, by start and then by kind as listed."""
     spans: list[tuple[int, str, int]] = []
-    number_end = email_end = address_end = account_end = 0
-    for last, kind in anchors.iter(text):
+    number_end = email_end = address_end = account_end = run = 0
+    lower = text.lower()
+    for last, kind in anchors.iter(lower if len(lower) == len(text) else text):
         if kind == "number":
             if last >= number_end:
                 start = run_start(text, last, number_end, NUMBER_CHARACTERS)
@@ -153,12 +172,12 @@ def find(text: str, anchors) -> list[tuple[int, str, int]]:
                     numbers(text, start, number_end, spans)
         elif kind == "email":
             if last >= email_end:
-                start = run_start(text, last, email_end, EMAIL_CHARACTERS)
-                email_end = run_end(text, last, EMAIL_CHARACTERS)
-                spans += ((start + m.start(), "email", start + m.end()) for m in EMAIL.finditer(text[start:email_end]))
+                email_end = max(email(text, last, email_end, spans), last)
         elif kind == "address":
             if last >= address_end:
-                address_end = address(text, last + 1, spans, address_end)
+                if last >= run:  # schemes in one run of characters end together
+                    run = url_end(text, last + 1)
+                address_end = address(text, last + 1, run, spans, address_end)
         elif last >= account_end:
             account_end = account(text, last + 1, spans)
     spans.sort(key=lambda s: (s[0], KINDS.index(s[1])))

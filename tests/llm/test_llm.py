@@ -137,16 +137,32 @@ def test_other_tokenizers_go_to_the_library(tmp_path):
 
 def test_pii_equals_the_rules():
     anchors = pii.automaton()
-    alphabet = ["a@b.c", "@", ".", "a.b", "-", "+1 555 123 4567", "+", "1.2.3.4", "4111111111111111", " ", "12", "255", "300", "(", ")", "%", "é"]
+    alphabet = ["a@b.c", "@", "@@", "a@b", ".", "a.b", "-", "1.2.3", "İ", "://", "+1 555 123 4567", "+", "1.2.3.4", "4111111111111111", " ", "12", "255", "300", "(", ")", "%", "é"]
     for s in fuzz(alphabet, 1500, 15):
         want = []
-        for kind, rule, holds in (("email", pii.EMAIL, lambda v: True), ("ip", pii.IP, lambda v: all(int(p) <= 255 for p in v.split("."))), ("card", pii.CARD, pii.is_card), ("phone", pii.PHONE, pii.is_phone)):
+        for kind, rule, holds in (("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), lambda v: True), ("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), lambda v: all(int(p) <= 255 for p in v.split("."))), ("card", pii.CARD, pii.is_card), ("phone", pii.PHONE, pii.is_phone)):
             want += [(m.start(), kind, m.end()) for m in rule.finditer(s) if holds(m[0])]
         assert [x for x in pii.find(s, anchors) if x[1] in pii.BASE_KINDS] == sorted(want, key=lambda x: (x[0], pii.KINDS.index(x[1]))), s
     spans = pii.find("IBAN: DE89 3704 0044 0532 0130 00 and https://u@a.example.com/x?y.", anchors)
     assert [k for _, k, _ in spans] == ["account", "address", "email"]
 
 
+def test_pii_takes_time_in_proportion():
+    import time
+
+    anchors = pii.automaton()
+    shapes = ["a" * 1000 + "@", "1" * 1000, "://", "+1 (", "1.1.1.", "a@", "account ", "@a.", "http://", "1" * 30 + "x", "- 1", "a.a@a.a"]
+    for shape in shapes:
+        took = []
+        for n in (100_000, 800_000):
+            began = time.thread_time()
+            pii.find((shape * (n // len(shape) + 1))[:n], anchors)
+            took.append(time.thread_time() - began)
+        assert took[1] < 24 * took[0] + 0.5, (shape, took)
+    found = pii.find("Tax ID 12-3456789, KONTONUMMER 0532013000; Passport No. X1234567", anchors)
+    assert [k for _, k, _ in found] == ["account"] * 3
+
+
 def test_secrets_and_ledger(spark):
     texts = fuzz(["token", " = ", "secret: ", '"', "abcdef0123456789", "AKIA", "ABCDEFGHIJKLMNOP", " ", "é", "x", "😀"], 200, 8)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -158,6 +174,26 @@ def test_secrets_and_ledger(spark):
     ledger = near_dedup.written(new)
     again, more = secrets.scan(docs, ledger=ledger)
     assert more.count() == 0 and {r.doc_id: [tuple(s) for s in r.spans] for r in again.collect()} == got
+    # a new version of a rule is scanned alone, and so are new texts (one of them in two rows)
+    rules = [(k, 2 if k == "hex" else v, e, g, least) for k, v, e, g, least in secrets.RULES]
+    extra = docs.union(spark.createDataFrame([(900, "token = 0123456789abcdef"), (901, "token = 0123456789abcdef"), (902, None)], docs.schema))
+    again, more = secrets.scan(extra, ledger=ledger, rules=rules)
+    blobs = {r.blob for r in ledger.collect()}
+    assert {(r.kind, r.blob in blobs) for r in more.collect()} == {("hex", True), *((k, False) for k in secrets.KINDS)} and more.count() == len(blobs) + 3 + 3 * ("" not in texts)
+    got |= {900: [(0, 0, 24), (8, 2, 24)], 901: [(0, 0, 24), (8, 2, 24)], 902: []}
+    assert {r.doc_id: [tuple(s) for s in r.spans] for r in again.collect()} == got
+
+
+def test_many_secrets_in_a_text(spark):
+    n = 20_000
+    docs = spark.createDataFrame([(1, " é ".join(f"{i:016x}" for i in range(n)))] + [(2, "x " * k + "0123456789abcdef " * k) for k in (127, 128, 129, 256, 257)], "doc_id long, text string")
+    for r in secrets.scan(docs)[0].collect():
+        text = next(t for t in ([x.text for x in docs.where(F.col("doc_id") == r.doc_id).collect()]) if secrets_sha(t) == r.blob)
+        assert [tuple(s) for s in r.spans if s.kind == 2] == [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]{16,}", text)]
+
+
+def secrets_sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
 
 
 def test_streams_round_trip():
@@ -166,10 +202,70 @@ def test_streams_round_trip():
         stream = transport_stream.mux(payload)
         got = transport_stream.demux(stream)
         assert got["payload"] == payload and len(got["pts"]) == len(got["random_access"]) == -(-len(payload) // transport_stream.UNIT)
+        assert got["pts"] == [(k + 1) * transport_stream.TICKS for k in range(len(got["pts"]))] and got["random_access"] == list(range(0, len(payload), transport_stream.UNIT))
         assert transport_stream.demux(stream[:-188] + b"\x47\x01\x00\x1f" + bytes(184)) is None or n <= 64
     assert transport_stream.demux(b"x" * 188) is None
 
 
+def packet(pid, counter, body, start=False, field=None):
+    """A transport packet; ``field`` is the adaptation field's content, filled up as needed."""
+    room = 184 - len(body)
+    if room or field is not None:
+        own = field or b""
+        own = bytes([max(room - 1, 0)]) + own + (b"\0" if room > 1 and not own else b"") + b"\xff" * (room - 1 - max(len(own), 1))
+        body = own[:room] + body
+    return bytes([0x47, (0x40 if start else 0) | pid >> 8, pid & 255, (0x30 if room else 0x10) | counter & 15]) + body
+
+
+def test_streams_of_other_writers():
+    """Several programs, tables over two packets, packets sent twice or without payload, units without a length or a timestamp, a stated jump of the counter."""
+    T = transport_stream
+    programs = b"\0\0\xe0\x10" + b"".join(bytes([0, k, 0xE0 | 0x02, k]) for k in range(1, 60))  # the network's, then 59 programs
+    section = bytes([0, 0xB0 | (len(programs) + 9) >> 8, (len(programs) + 9) & 255, 0, 1, 0xC1, 0, 0]) + programs
+    section += T.crc32_mpeg(section).to_bytes(4, "big")
+    table = [packet(0, 0, b"\0" + section[:183], start=True), packet(0, 1, section[183:])]
+    pmt = T.table_packet(0x201, 2, bytes([0xE1, 0x50, 0xF0, 2, 9, 9, 0x1B, 0xE1, 0x50, 0xF0, 0]))
+    unit = lambda data, pts, length=True: b"\0\0\1\xe0" + ((len(data) + 3 + 5 * (pts is not None)) * length).to_bytes(2, "big") + (b"\x80\x00\x00" if pts is None else b"\x80\x80\x05" + T.timestamp(pts)) + data
+    one, two, three = unit(b"a" * 300, 7777, False), unit(b"b" * 100, None), unit(b"c" * 50, 9999)
+    own = [packet(0x150, 3, one[:184], start=True), packet(0x150, 4, one[184:])]
+    own += [own[-1], packet(0x150, 4, b"").replace(b"\x34", b"\x24", 1)]  # sent twice; without payload
+    own += [packet(0x150, 5, two, start=True, field=b"\x40"), packet(0x1FFF, 0, b"x" * 184), packet(0x150, 12, three, start=True, field=b"\x80")]
+    stream = b"".join([*table, pmt, *own])
+    assert len(stream) % 188 == 0
+    got = T.demux(stream)
+    assert got["payload"] == b"a" * 300 + b"b" * 100 + b"c" * 50 and got["pts"] == [7777, None, 9999] and got["random_access"] == [300]
+    assert T.demux(b"".join([*table, pmt, *own[:2], *own[4:5][::-1], packet(0x150, 12, three, start=True)])) is None  # a jump that isn't stated
+
+
+def test_damaged_streams_never_raise():
+    r, T = random.Random(9), transport_stream
+    base = T.mux(T.padded(bytes(i * 31 % 251 for i in range(1500))))
+    for _ in range(20_000):
+        bad = bytearray(base)
+        for _ in range(r.randint(1, 4)):
+            bad[r.choice([r.randrange(len(bad)), 188 * r.randrange(len(bad) // 188) + r.randrange(16)])] = r.randrange(256)
+        if r.random() < 0.2:
+            del bad[188 * r.randrange(len(bad) // 188) :][:188]
+        if r.random() < 0.1:
+            bad = bad[: r.randrange(len(bad))]
+        T.demux(bytes(bad))
+
+
+def test_stream_digests(spark):
+    import zlib
+
+    T, texts = transport_stream, ["", None, "é" * 40, "x" * 64, "y" * 40_000, "é" * 40]
+    rows = T.stream_features(T.write_streams(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()
+    for r in rows:
+        data = (texts[r.doc_id] or "").encode()
+        payload = data + bytes(64 - len(data) % 64 if len(data) % 64 or not data else 0)
+        media = T.mux(payload)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256, len(r.pts)) == (len(media), hashlib.sha256(media).hexdigest(), -(-len(payload) // T.UNIT)) and f"packets={len(media) // 188};" in r.feature
+    damaged = T.stream_features(spark.createDataFrame([(1, None), (2, b""), (3, b"x" * 188)], "doc_id long, media binary")).collect()
+    assert [(r.payload_bytes, r.media_bytes, r.feature) for r in damaged] == [(None, None, "damaged"), (None, 0, "damaged"), (None, 188, "damaged")]
+
+
 def test_language_held_out(spark, documents):
     p = language.op5(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id").where("held_out")
     assert p.where("lang_pred = lang").count() > 0.97 * p.count()
@@ -301,6 +397,45 @@ def test_decontamination_gives_each_passage_its_span():
     assert [(g[0], g[1], g[4], decontamination.plain(data[g[2] : g[3]].decode())) for g in got] == [(1, 7, k, item.lower().replace("herons", h)) for k, h in ((0, "herons"), (0, "herons"), (1, "hxrons"))]
 
 
+def test_decontamination_against_all_windows():
+    """Every passage that a scan of all windows by exact distance has, and no others; with all kinds of edits, repeats, and items in one block or several."""
+    r, letters = random.Random(11), "abcdefghijklmnop"
+    word = lambda: "".join(r.choice(letters) for _ in range(r.randint(2, 8)))
+    items = [(i, " ".join(word() for _ in range(r.randint(6, 25)))) for i in range(12)]
+    texts = []
+    for i, item in items * 4:
+        chars = list(item)
+        for _ in range(r.randint(0, int(0.13 * len(item)))):
+            at = r.randrange(len(chars))
+            chars[at : at + 1] = r.choice([[], [r.choice(letters)], [chars[at], r.choice(letters + " ")]])
+        noisy = "".join(chars)
+        texts.append(" ".join([*(word() for _ in range(20)), noisy, *(word() for _ in range(r.randint(0, 9))), *([item] if r.random() < 0.3 else []), word()]))
+    texts.append("")
+    got = decontamination.Tables(items).search(pa.array(texts))
+    want = {}
+    for row, text in enumerate(texts):
+        for k, item in items:
+            if found := decontamination.passages(item, text, int(decontamination.RATIO * len(item))):
+                want[row, k] = len(found)
+    have = {}
+    for row, k, start, end, distance in got:
+        pattern = dict(items)[k]
+        assert decontamination.best_match(pattern, texts[row][start:end], len(pattern)) == (distance, end - start) or distance <= decontamination.RATIO * len(pattern)
+        have[row, k] = have.get((row, k), 0) + 1
+    assert have.keys() <= want.keys() and sum(have.values()) >= 0.95 * sum(want.values()) > 45
+    parts = [x for some in (items[:5], items[5:]) for x in decontamination.Tables(some).search(pa.array(texts))]
+    assert sorted(parts) == sorted(got)
+
+
+def test_contaminated_odd_rows(spark):
+    schema, none = "item_id long, text string", spark.createDataFrame([], "item_id long, text string")
+    items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (2, None), (3, "..."), (4, "one two three four five six seven eight nine ten")], schema)
+    docs = spark.createDataFrame([*ODD, (7, "x one two three four five six seven eight nine ten", "en", "s", 1, None, None, None)], SCHEMA)
+    assert sorted((x.doc_id, x.item_id, x.distance) for x in decontamination.contaminated(docs, items).collect()) == [(7, 1, 0), (7, 4, 0)]
+    assert decontamination.contaminated(docs.limit(0), items).collect() == [] and decontamination.contaminated(docs, none).collect() == []
+    assert decontamination.clean_of(docs, none).count() == len(ODD) + 1 and decontamination.clean_of(docs, items).count() == len(ODD)
+
+
 def test_decontamination_finds_unchanged_short_items():
     r = random.Random(7)
     words = [f"w{i}x" for i in range(300)]
