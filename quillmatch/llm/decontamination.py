@@ -14,11 +14,11 @@ leave intact somewhere, and one is enough, so these are always found.
 Candidates are dropped only where a passage within the allowed distance is impossible (an edit changes at most q of the item's runs of q bytes, and one more for each byte of a character beyond the first), and the rest is verified by the exact edit
 distance in characters between the item and the parts of the region around it (bit-parallel, Myers 1999).
 
-Only words of the items matter to a match, so all others are one symbol. The sampled positions are checked in order and a window leaves the walk at the
-first that no item has there: the keys are those of the full walk.
+Walks take their bits from the hash of the word, and the sampled steps from the size of the windows, so what is found for an item depends on it and the text alone, not on the
+other items. The sampled positions are checked in order and a window leaves the walk at the first that no item has there: the keys are those of the full walk.
 
 The items are the stated query set: blocks of ``ITEM_BLOCK`` of them at most go to the executors (their bytes are checked), and each block passes over all
-texts. Nothing is exchanged.
+texts. A worker makes the tables of a block once and keeps those of the last one for its next tasks. Nothing is exchanged.
 
 Recall: an unchanged passage is always found, as all its runs are shared. With single-word edits of one in ten words above 0.95 of the passages of 16 words or more are found, with random character edits
 up to ``RATIO`` above 0.9 (tests measure both).
@@ -41,8 +41,10 @@ from quillmatch.operators.skew import fresh
 
 REPEATS, SAMPLES, RATIO = 8, 4, 0.15
 RUN, ACROSS, SHARE, SHORT, HITS, LEFT = 8, 32, 24, 40, 2 << 20, (5, 3)
+#: Regions of an item that begin within so many bytes are one.
+MERGED, SLOT_BITS, FILTER_BITS = 24, 12, 18
 ITEM_BLOCK, ITEM_BYTES = 5_000, 16 << 20
-STEP = 2 << 20
+STEP = 1 << 19
 RESULT = "item_id long, start long, `end` long, distance int"
 
 
@@ -127,7 +129,16 @@ def runs_of(data: np.ndarray, size: int) -> np.ndarray:
     for k in range(8):
         part = np.frombuffer(padded.data, np.uint64, (len(padded) - k) // 8, k)[: len(out[k::8])]
         out[k::8][: len(part)] = part
-    return out[: len(data)] & np.uint64((1 << 8 * size) - 1)
+    return shortened(out[: len(data)], size)
+
+
+def shortened(runs: np.ndarray, size: int) -> np.ndarray:
+    """The first ``size`` bytes of runs of 8."""
+    return runs & np.uint64((1 << 8 * size) - 1) if size < 8 else runs
+
+
+def slots_of(runs: np.ndarray) -> np.ndarray:
+    return ((runs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.uint16)
 
 
 class Runs:
@@ -137,7 +148,7 @@ class Runs:
         self.sizes = np.array([len(p.encode()) for p in patterns], np.int64)
         self.need = np.maximum(2, self.sizes // SHARE)
         by = defaultdict(list)
-        #: for each item by size of runs: its distinct runs, how often each is there, and how many of all ``RATIO`` leaves at least
+        #: for each item by size of runs: its distinct runs, how often each is there, how many of all ``RATIO`` leaves at least, and how often those of a slot are there
         self.left: list[list[tuple]] = []
         for k, p in enumerate(patterns):
             edits, size = int(RATIO * len(p)), RUN
@@ -149,7 +160,9 @@ class Runs:
                 # an edit changes q runs, and one more for each byte of its character beyond the first
                 need = len(data) - q + 1 - q * edits - min(len(data) - len(p), 3 * edits)
                 if need > 0:
-                    self.left[k].append((q, *np.unique(runs_of(data, q)[: len(data) - q + 1], return_counts=True), need))
+                    own, counts = np.unique(runs_of(data, q)[: len(data) - q + 1], return_counts=True)
+                    table = np.bincount(slots_of(own), counts, 1 << SLOT_BITS).astype(np.uint16)
+                    self.left[k].append((q, own, counts, need, table))
             runs = runs_of(data, size)[: len(data) - size + 1]
             by[size].append((runs, np.full(len(runs), k), np.arange(len(runs))))
         #: (size of runs, filter, distinct runs, first place of each, item and offset of each place)
@@ -166,9 +179,14 @@ class Runs:
     def spread(runs: np.ndarray) -> np.ndarray:
         return (runs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)
 
-    def possible(self, k: int, runs: dict[int, np.ndarray], low: int, high: int) -> bool:
+    def possible(self, k: int, runs: dict[int, np.ndarray], slots: dict[int, np.ndarray], low: int, high: int) -> bool:
         """Whether the text from ``low`` to ``high`` holds as many of the item's runs as its allowed edits leave."""
-        for q, own, counts, need in self.left[k]:
+        for q, own, counts, need, table in self.left[k]:
+            there = np.zeros(1 << SLOT_BITS, bool)
+            there[slots[q][low : max(low, high - q + 1)]] = True
+            if table[there].sum() < need:  # slots hold all of their runs, so this is never too low
+                return False
+        for q, own, counts, need, _ in self.left[k]:
             part = runs[q][low : max(low, high - q + 1)]
             place = own.searchsorted(part)
             place[place == len(own)] = 0
@@ -178,12 +196,12 @@ class Runs:
                 return False
         return True
 
-    def candidates(self, data: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, least, most place where its window may begin) in ``data``, which has single spaces."""
+    def candidates(self, all_runs: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, least, most place where its window may begin) in data with single spaces, given its runs of 8 bytes."""
         found = []
         shift = 1 << 20  # a window may begin before the data
         for size, bloom, keys, first, item, offset in self.index:
-            runs = runs_of(data, size)[: max(0, len(data) - size + 1)]
+            runs = shortened(all_runs[: max(0, len(all_runs) - size + 1)], size)
             at = np.flatnonzero(bloom[self.spread(runs)])
             place = np.minimum(np.searchsorted(keys, runs[at]), len(keys) - 1)
             same = keys[place] == runs[at]
@@ -225,27 +243,27 @@ class Tables:
     """The hash tables of a block of items."""
 
     def __init__(self, items: list[tuple[int, str]], seed: int = 1):
-        column = pa.array([t for _, t in items], pa.string())
-        hashes, _, _, first = words(*utf8(column))
-        self.vocabulary = np.unique(hashes)
-        n = len(self.vocabulary)
-        ids = np.searchsorted(self.vocabulary, hashes) + 1  # 0 is every other word
-        self.items = [(k, plain(t), ids[a:b]) for (k, t), a, b in zip(items, first.tolist(), first[1:].tolist()) if b > a]
-        self.bloom = np.zeros(1 << 20, bool)
-        self.bloom[self.vocabulary >> np.uint64(44)] = True
+        data, offsets = utf8(pa.array([t for _, t in items], pa.string()))
+        hashes, starts, _, first = words(data, offsets)
+        #: where each word begins in the item with single spaces
+        places = np.concatenate([[0], np.cumsum(spaced(data)[1])])
+        some = np.flatnonzero(np.diff(first) > 0)
+        begin, sizes = first[some], np.diff(first)[some]
+        self.at = [places[starts[b : b + n]] - places[offsets[i]] for i, b, n in zip(some, begin, sizes)]
+        self.items = [(items[i][0], plain(items[i][1]), int(n)) for i, n in zip(some.tolist(), sizes)]
         self.runs = Runs([p for _, p, _ in self.items])
         # the bytes by which so many edits may move a place, with characters as wide as the item's
         self.reach = [int(RATIO * len(p)) * -(-int(b) // len(p)) + 4 for (_, p, _), b in zip(self.items, self.runs.sizes)]
-        self.code = mix(np.arange(n + 1, dtype=np.uint64))
-        by_size = defaultdict(list)
-        for k, (_, _, own) in enumerate(self.items):
-            by_size[1 << len(own).bit_length() - 1].append(k)  # windows of at least half the item's size
-        #: (offset, sampled steps, bits of the walk, whether a symbol begins a key, keys of the first two samples, items by key)
+        self.seeds = mix(np.arange(seed, seed + REPEATS // 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        whole = np.left_shift(1, np.frexp(sizes)[1] - 1)  # windows of at least half the item's size
+        bits = self.bits(hashes)
+        #: (offset, sampled steps, number of the walk, whether a symbol may begin a key, whether two may, keys, items by key)
         self.tables = []
-        random = np.random.RandomState(seed)
-        for size, members in sorted(by_size.items()):
+        for size in np.unique(whole).tolist():
+            members = np.flatnonzero(whole == size)
             repeats = min(REPEATS, max(1, size))
             for r in range(repeats):
+                random = np.random.RandomState([seed, size, r])
                 offset = r * max(0, size - min(size, 8)) // max(1, repeats - 1) if repeats > 1 else 0
                 room = size - offset
                 # the walk moves half the steps, so twice as many cover the window; the second sample is near, to leave most windows early
@@ -254,54 +272,61 @@ class Tables:
                     near = 1 + random.randint(min(3, room - 1))
                     far = np.arange(near + 1, min(2 * room, near + 14))
                     steps += [near, *sorted(random.choice(far, min(SAMPLES - 2, len(far)), replace=False).tolist())] if len(far) else [near]
-                bits = random.randint(0, 2, (steps[-1] + 1, n + 1)).astype(np.int32)
-                begins, seconds, keyed = np.zeros(n + 1, bool), np.zeros(1 << 20, bool), defaultdict(list)
-                for k in members:
-                    own = self.items[k][2]
-                    out = self.walk(np.concatenate([own, np.zeros(len(steps) + steps[-1], own.dtype)]), np.array([offset]), np.array([len(own)]), steps, bits)
-                    begins[out[0][0]] = True
-                    key = self.code[out[0]]
-                    for j, symbols in enumerate(out[1:]):
-                        key = mix(key ^ symbols.astype(np.uint64))
-                        if not j:
-                            seconds[key >> np.uint64(44)] = True
-                    keyed[int(key[0])].append(k)
+                begins, seconds, keyed = np.zeros(1 << FILTER_BITS, bool), np.zeros(1 << FILTER_BITS, bool), defaultdict(list)
+                at = begin[members] + offset
+                begins[hashes[at] >> np.uint64(64 - FILTER_BITS)] = True
+                key = hashes[at].copy()
+                for j, (_, symbols, _) in enumerate(self.walk(hashes, bits, at, begin[members] + sizes[members], steps, r)):
+                    key = mix(key ^ symbols)
+                    if not j:
+                        seconds[key >> np.uint64(64 - FILTER_BITS)] = True
+                for k, x in zip(members.tolist(), key.tolist()):
+                    keyed[x].append(k)
                 keys = np.array(sorted(keyed), np.uint64)
-                begins[0] = False
-                self.tables.append((offset, steps, bits, begins, seconds, keys, [keyed[int(k)] for k in keys]))
+                self.tables.append((offset, steps, r, begins, seconds, keys, [keyed[int(k)] for k in keys]))
+
+    def bits(self, hashes: np.ndarray) -> list[np.ndarray]:
+        """Random bits of each word, 32 for each walk."""
+        return [mix(hashes ^ s) for s in self.seeds]
 
     @staticmethod
-    def walk(symbols, at, end, steps, bits) -> list:
-        """The sampled outputs of walks that begin at ``at``; 0 beyond ``end``."""
-        out, t = [], 0
-        for s in steps:
+    def walk(symbols, bits, at, end, steps, r):
+        """For each sampled step but the first (indices of walks, symbols there, function that leaves only some walks); symbols are 0 beyond ``end``."""
+        last, w, shift, t = len(symbols) - 1, bits[r // 2], 32 * (r % 2), 0
+        which, held = np.arange(len(at)), [at, end]
+        move, symbol = (w[at] >> np.uint64(shift)) & np.uint64(1), None
+
+        def leave(on):
+            nonlocal which, move
+            which, move, held[:] = which[on], move[on], [held[0][on], held[1][on]]
+
+        for s in steps[1:]:
             while t < s:
-                at = at + bits[t, np.where(at < end, symbols[np.minimum(at, len(symbols) - 1)], 0)]
-                t += 1
-            out.append(np.where(at < end, symbols[np.minimum(at, len(symbols) - 1)], 0))
-        return out
-
-    def hits(self, ids: np.ndarray, end: np.ndarray) -> set[tuple[int, int]]:
-        """(item, index of the word where its window begins) for every hit. ``end`` has for each word the end of its text."""
-        found = set()
-        last = len(ids) - 1
-        for offset, steps, bits, begins, seconds, keys, members in self.tables:
-            at = start = np.flatnonzero(begins[ids]).astype(np.int32)
-            symbol, stop = ids[at], end[at]
-            key, t = self.code[symbol], 0
-            for j, s in enumerate(steps[1:]):
-                while t < s:
-                    at = at + bits[t, symbol]
-                    symbol = np.where(at < stop, ids[np.minimum(at, last)], 0)
-                    t += 1
-                key = mix(key ^ symbol.astype(np.uint64))
+                at = held[0] + move.astype(np.int64)
+                held[0], t = at, t + 1
+                near = np.minimum(at, last)
+                move = (w[near] >> np.uint64(shift + t)) & np.uint64(1)
+                move[at >= held[1]] = 0
+            symbol = np.where(held[0] < held[1], symbols[np.minimum(held[0], last)], np.uint64(0))
+            yield which, symbol, leave
+
+    def hits(self, hashes: np.ndarray, end: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, index of a word, index of the item's word there) for every hit. ``end`` has for each word the end of its text."""
+        found = []
+        slot, bits = (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int32), self.bits(hashes)
+        for offset, steps, r, begins, seconds, keys, members in self.tables:
+            start = np.flatnonzero(begins[slot])
+            key, which = hashes[start], np.arange(len(start))
+            for j, (which, symbol, leave) in enumerate(self.walk(hashes, bits, start, end[start], steps, r)):
+                key = mix(key ^ symbol)
                 if not j:
-                    on = seconds[key >> np.uint64(44)]
-                    at, start, key, stop, symbol = at[on], start[on], key[on], stop[on], symbol[on]
+                    on = np.flatnonzero(seconds[key >> np.uint64(64 - FILTER_BITS)])
+                    key, which = key[on], which[on]
+                    leave(on)
             place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
             same = keys[place] == key
-            for p, i in zip(place[same].tolist(), start[same].tolist()):
-                found.update((k, i - offset) for k in members[p])
+            for p, i in zip(place[same].tolist(), start[which[same]].tolist()):
+                found += ((k, i, offset) for k in members[p])
         return found
 
     def search(self, column: pa.Array) -> list[tuple[int, int, int, int, int]]:
@@ -310,34 +335,35 @@ class Tables:
         hashes, starts, ends, first = words(data, offsets)
         if not len(hashes) or not self.items:
             return []
-        ids = np.zeros(len(hashes), np.int32)
-        near = np.flatnonzero(self.bloom[hashes >> np.uint64(44)])
-        place = np.minimum(np.searchsorted(self.vocabulary, hashes[near]), len(self.vocabulary) - 1)
-        same = self.vocabulary[place] == hashes[near]
-        ids[near[same]] = place[same] + 1
         text = np.repeat(np.arange(len(first) - 1), np.diff(first))
         flat, keep = spaced(data)
         place = np.concatenate([[0], np.cumsum(keep)])  # of the bytes in the text with single spaces
         bounds, back = place[offsets], np.append(np.flatnonzero(keep), len(data))
         regions: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        for k, begin in self.hits(ids, first[1:][text].astype(np.int32)):
-            size = len(self.items[k][2])
-            slack, edits = size // 6 + 1, self.reach[k]
-            row = int(text[min(max(begin + size // 2, 0), len(text) - 1)])  # a window that reaches over a text's ends has its middle within
-            low, high = max(begin - slack, int(first[row])), min(begin + size + slack, int(first[row + 1]))
-            regions[row, k].append((int(place[starts[low]]) - edits, int(place[ends[high - 1]]) + edits))
-        for k, low, high in self.runs.candidates(flat):
+        # of the passage the item's part before the word, and the part after it, are moved by the edits there at most
+        for k, i, own in self.hits(hashes, first[1:][text]):
+            low = int(place[starts[i]]) - int(self.at[k][own])
+            regions[int(text[i]), k].append((low - self.reach[k], low + int(self.runs.sizes[k]) + self.reach[k]))
+        whole = runs_of(flat, 8)
+        for k, low, high in self.runs.candidates(whole):
             reach, size = self.reach[k], int(self.runs.sizes[k])
             row = int(np.searchsorted(bounds, min(max((low + high + size) // 2, 0), len(flat) - 1), "right")) - 1
-            regions[row, k].append((low - reach, high + size + 2 * reach))
-        runs = {q: runs_of(flat, q) for q in LEFT}
+            regions[row, k].append((low - reach, high + size + reach))
+        runs = {q: shortened(whole, q) for q in LEFT}
+        slots = {q: slots_of(r) for q, r in runs.items()}
         found = []
         for (row, k), parts in sorted(regions.items()):
             item, pattern, _ = self.items[k]
             most = int(RATIO * len(pattern))
+            near: list[list[int]] = []
+            for low, high in sorted((max(a, int(bounds[row])), min(z, int(bounds[row + 1]))) for a, z in parts):
+                if near and low - near[-1][0] <= MERGED:
+                    near[-1][1] = max(near[-1][1], high)
+                else:
+                    near.append([low, high])
             likely: list[list[int]] = []
-            for low, high in sorted((max(a, int(bounds[row])), min(z, int(bounds[row + 1]))) for a, z in set(parts)):
-                if likely and high <= likely[-1][1] or not self.runs.possible(k, runs, low, high):
+            for low, high in near:
+                if likely and high <= likely[-1][1] or not self.runs.possible(k, runs, slots, low, high):
                     continue
                 if likely and low < likely[-1][1]:
                     likely[-1][1] = high
@@ -353,6 +379,18 @@ class Tables:
         return found
 
 
+_kept: dict = {}
+
+
+def tables_of(items: list[tuple[int, str]]) -> Tables:
+    """The tables of a block, from an earlier task of this worker if it was of the same items."""
+    key = tuple(items)
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = Tables(items)
+    return _kept[key]
+
+
 def item_blocks(benchmark: DataFrame, key: str, text: str):
     """The items in bounded blocks."""
     items = benchmark.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).where("t is not null")
@@ -382,12 +420,12 @@ def contaminated(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 def searcher(items: list, schema):
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    from quillmatch.llm.rows import blocks
+    from quillmatch.llm.rows import blocks, give_back
 
     out = to_arrow_schema(schema)
 
     def run(batches):
-        tables = Tables(items)
+        tables = tables_of(items)
         for batch in batches:
             for block in blocks(batch, STEP):
                 got = tables.search(block.column(1))
@@ -395,6 +433,7 @@ def searcher(items: list, schema):
                     rows = pa.array([g[0] for g in got], pa.int64())
                     columns = [block.column(0).take(rows), *[pa.array([g[j] for g in got], out.field(j).type) for j in range(1, 5)]]
                     yield pa.RecordBatch.from_arrays(columns, schema=out)
+        give_back()
 
     return run
 
@@ -407,7 +446,7 @@ def clean_of(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataF
     for items in item_blocks(benchmark, "item_id", "text"):
 
         def make(items=items):
-            tables = Tables(items)
+            tables = tables_of(items)
 
             def run(block):
                 from quillmatch.llm.rows import blocks

@@ -27,7 +27,7 @@ from quillmatch.llm.rows import blocks, map_blocks
 from quillmatch.llm.words import utf8
 from quillmatch.operators.skew import fresh
 
-BUCKETS, MOST_LANGUAGES, CERTAIN, STEP = 1 << 14, 1_000, 0.6, 2 << 20
+BUCKETS, MOST_LANGUAGES, CERTAIN, STEP = 1 << 14, 1_000, 0.6, 1 << 20
 #: Letters and bytes beyond ASCII stand for themselves, all else for a space.
 PLAIN = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint32)
 

@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmatch.llm.rows import blocks
+from quillmatch.llm.rows import blocks, give_back
 from quillmatch.llm.words import mix, utf8, words
 
-GRAM, WINDOW, COVERAGE, BAND, MOST_WORDS, STEP = 3, 6, 0.75, 12, 500_000, 2 << 20
+GRAM, WINDOW, COVERAGE, BAND, MOST_WORDS, STEP = 3, 6, 0.75, 12, 500_000, 1 << 20
 #: Templates of at most so many words keep all of their hashes.
 SHORT = 16
 
@@ -255,6 +255,7 @@ def find_licenses(df: DataFrame, key: str = "doc_id", text: str = "text", templa
                 if got := index.scan(block.column(1)):
                     keys = block.column(0).take(pa.array([g[0] for g in got], pa.int64()))
                     yield pa.RecordBatch.from_arrays([keys, *[pa.array([g[j] for g in got], out.field(j).type) for j in range(1, 6)]], schema=out)
+        give_back()
 
     return docs.mapInArrow(run, schema).withColumnRenamed("key", key)
 

@@ -40,9 +40,9 @@ BANDS, ROWS, WORDS, SIMILARITY = 24, 5, 5, 0.8
 #: Share of agreeing registers: 2.7 standard deviations below SIMILARITY. Buckets of more than WHOLE texts are taken apart.
 LIKELY, WHOLE = 0.7, 400
 #: Bytes of text at a time in the array code.
-STEP = 1 << 20
+STEP = 1 << 19
 #: Bytes of text on either side of a block; its run sets are about as many.
-BLOCK = 32 << 20
+BLOCK = 16 << 20
 
 
 def weighted(data, offsets):
