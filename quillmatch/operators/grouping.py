@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmatch.operators.components import components
@@ -30,11 +29,3 @@ def nearest(matches: DataFrame) -> DataFrame:
     """(right_pos, left_pos): for each right row the most similar left row, of equals the first."""
     order = F.struct((-ranked("similarity")).alias("s"), "left_pos")
     return matches.groupBy("right_pos").agg(F.min_by("left_pos", order).alias("left_pos"))
-
-
-def group_sizes(grouped: DataFrame, group: str, to: str = "n") -> DataFrame:
-    return grouped.groupBy(group).agg(F.count("*").alias(to))
-
-
-def ordered_within(group: str, *order) -> W:
-    return W.partitionBy(group).orderBy(*order)

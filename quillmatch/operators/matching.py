@@ -13,14 +13,32 @@ from pyspark.sql import functions as F
 
 from quillmatch.config import MatchOptions
 from quillmatch.operators.vectors import prefixes
+from quillmatch.shared import written
+
+#: Work of a candidate by prefix, against a product of two postings: it is deduplicated, and then verified gram by gram.
+VERIFY = 4.0
+
+
+def products(left: DataFrame, right: DataFrame) -> float:
+    """The number of pairs of postings with the same gram."""
+    counts = [side.groupBy("gram").agg(F.count("*").cast("double").alias(n)) for side, n in ((left, "n"), (right, "m"))]
+    return counts[0].join(counts[1], "gram").agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0.0))).first()[0]
+
+
+def prefix_pays(left: DataFrame, right: DataFrame, least: float) -> bool:
+    """Whether candidates by prefixes, each of which is verified with whole postings, are less work than all products. With a low threshold prefixes hold most grams.
+
+    Both are exact; the counts of grams decide, so nothing but two numbers reaches the driver."""
+    return VERIFY * products(prefixes(left, least), prefixes(right, least)) < products(left, right)
 
 
 def form_pairs(left: DataFrame, right: DataFrame, options: MatchOptions, same: bool) -> DataFrame:
     """(lform, rform, similarity) over the threshold, from the postings of either side. ``same``: both are the same forms; pairs are then mirrored."""
     t = options.min_similarity
+    by_prefix = t > 0 and prefix_pays(left, right, t)
     l = left.select(F.col("form").alias("lform"), "gram", F.col("w").alias("lw"))  # noqa: E741
     r = right.select(F.col("form").alias("rform"), "gram", F.col("w").alias("rw"))
-    if t > 0:
+    if by_prefix:
         lp = prefixes(left, t).withColumnRenamed("form", "lform")
         rp = prefixes(right, t).withColumnRenamed("form", "rform")
         candidates = lp.join(rp, "gram").where("lform < rform" if same else "lform <> rform").select("lform", "rform").distinct()
@@ -36,6 +54,27 @@ def form_pairs(left: DataFrame, right: DataFrame, options: MatchOptions, same: b
     return pairs
 
 
+def best_forms(pairs: DataFrame, options: MatchOptions) -> DataFrame:
+    """The pairs that can hold one of the best n matches of a row: for each form those with fewer than n better ones. Ties stay, as positions decide them."""
+    near = "lform" if options.topn_side == "left" else "rform"
+    rank = F.rank().over(W.partitionBy(near).orderBy(ranked("similarity").desc()))
+    return pairs.withColumn("__k", rank).where(F.col("__k") <= options.max_n_matches).drop("__k")
+
+
+def pairs_by_number(left: DataFrame, right: DataFrame, options: MatchOptions, same: bool) -> DataFrame:
+    """The pairs of ``form_pairs`` that ``best_forms`` keeps, if matches must be over 0 (else results may need to know how many there are). Forms stand as numbers in
+    between, which are smaller to move and faster to group by."""
+    forms = left.select("form") if same else left.select("form").union(right.select("form"))
+    numbers = written(forms.distinct().withColumn("number", F.monotonically_increasing_id()), "forms")
+    numbered = [written(side.join(numbers, "form").select(F.col("number").alias("form"), "gram", "df", "w"), "numbered") for side in ([left] if same else [left, right])]
+    pairs = form_pairs(numbered[0], numbered[-1], options, same)
+    if options.min_similarity > 0:
+        pairs = best_forms(pairs, options)
+    for side in ("lform", "rform"):
+        pairs = pairs.withColumnRenamed(side, "number").join(numbers.withColumnRenamed("form", side), "number").drop("number")
+    return pairs
+
+
 def ranked(c: str) -> F.Column:
     """Similarities that differ by the order of summation only are equal."""
     return F.round(c, 9)

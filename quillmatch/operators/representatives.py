@@ -28,24 +28,48 @@ def replaced(df: DataFrame, group: str, order: Sequence[Column], record_id: str,
     return out.select(*[F.col(f"`{c}`") for c in df.columns], F.col("__r.id").alias(id_to), *([F.col("__r.name").alias(name_to)] if record_name else []))
 
 
+def is_date(text: str, **parser) -> bool:
+    """Whether a string is a date in one of the formats that people write."""
+    from dateutil.parser import ParserError, parse
+
+    try:
+        parse(text, **parser)
+    except (ParserError, OverflowError, TypeError):
+        return False
+    return True
+
+
 def parsed(df: DataFrame, c: Column, kind: T.DataType, parser: dict) -> Column:
-    """Timestamps or numbers as they are, strings read; text that isn't a date is an error."""
+    """Timestamps or numbers as they are, strings read; text that isn't a date is an error.
+
+    Without parser options Spark's own formats are read in the JVM; strings in other formats go to the parser, as all do with options. Times without a zone are in the session's."""
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType, T.NumericType)):
         return c
     if not isinstance(kind, T.StringType):
         raise ValueError("timestamps are date-like strings, timestamps, dates or numbers")
-    if not parser:
-        return F.when(c.isNotNull(), F.coalesce(F.try_to_timestamp(c), F.raise_error(F.concat(F.lit("not a date: "), c)).cast("timestamp")))
+    zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
 
     @F.pandas_udf("timestamp")
     def read(strings: pd.Series) -> pd.Series:
-        from datetime import timezone
+        from zoneinfo import ZoneInfo
+
+        from dateutil.parser import ParserError, parse
 
-        from dateutil.parser import parse
+        def one(s):
+            if s is None:
+                return None
+            try:
+                t = parse(s, **parser)
+            except (ParserError, OverflowError) as e:
+                raise ValueError(f"not a date: {s}") from e
+            return t if t.tzinfo else t.replace(tzinfo=ZoneInfo(zone))
 
-        return pd.to_datetime(strings.map(lambda s: None if s is None else parse(s, **parser).astimezone(timezone.utc)), utc=True)
+        return pd.to_datetime(strings.map(one), utc=True)
 
-    return read(c)
+    if parser:
+        return read(c)
+    own = F.when(c.rlike(r"^\s*[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"), F.try_to_timestamp(c))
+    return F.coalesce(own, read(F.when(own.isNull(), c)))
 
 
 def new_group_rep_by_earliest_timestamp(df: DataFrame, group_col: GroupColumn, record_id_col: GroupColumn, timestamps: GroupColumn, record_name_col: GroupColumn | None = None, *, order_by: str, id_to: str = "group_rep_id", name_to: str = "group_rep", parserinfo=None, **parser) -> DataFrame:

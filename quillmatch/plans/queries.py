@@ -199,12 +199,68 @@ def rep_completeness(spark, d):
     return got.select("doc_id", "group_rep_id")
 
 
+def rep_timestamp_strings(spark, d):
+    orders = table(spark, d, "orders").withColumn("o_written", F.date_format("o_orderdate", "MMM d yyyy"))
+    got = representatives.new_group_rep_by_earliest_timestamp(orders, "o_custkey", "o_orderkey", "o_written", "o_orderpriority", order_by="o_orderkey")
+    return got.select("o_orderkey", "group_rep_id", "group_rep")
+
+
+def rep_timestamp_numbers_by_place(spark, d):
+    orders = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    got = representatives.new_group_rep_by_earliest_timestamp(orders, 0, 1, 2, order_by="o_orderkey")
+    return got.select("o_orderkey", "group_rep_id")
+
+
+def rep_completeness_empty(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "source", F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, F.lit(None)).otherwise(F.col("lang")).alias("l"))
+    got = representatives.new_group_rep_by_completeness(docs, "source", "doc_id", tested_cols=["l"], order_by="doc_id")
+    return got.select("doc_id", "group_rep_id")
+
+
+def match_accents(spark, d):
+    names = table(spark, d, "supplier").select("s_suppkey", F.translate("s_name", "uie", "\u00fc\u00ee\u00e9").alias("s_name"))
+    return of(match_strings(Strings(names, "s_name", id="s_suppkey", key="s_suppkey")))
+
+
+def match_tokenizer(spark, d):
+    return of(match_strings(suppliers(spark, d), tokenizer=lambda c: ngrams(c, 3)))
+
+
+def match_float32(spark, d):
+    return of(match_strings(suppliers(spark, d), tfidf_matrix_dtype="float32")).withColumn("similarity", F.round("similarity", 4))
+
+
+def match_id_is_index(spark, d):
+    names = Strings(table(spark, d, "supplier"), "s_name", id="s_suppkey", index=("s_suppkey",), key="s_suppkey")
+    got = match_strings(names).toDF("left_index", "left_name", "left_id", "similarity", "right_id", "right_name", "right_index")
+    return similarity(got.select("left_index", "left_id", "similarity", "right_id", "right_index"))
+
+
+def match_frozen_session(spark, d):
+    session = MatchSession(suppliers(spark, d), corpus="frozen").fit()
+    session.update_options(min_similarity=0.5, max_n_matches=1000)
+    return of(session.fit().get_matches())
+
+
+def match_after_reset(spark, d):
+    session = MatchSession(customers(spark, d))
+    session.clear_data()
+    session.master = suppliers(spark, d)
+    return of(session.fit().get_matches())
+
+
+def most_similar_no_match(spark, d):
+    got = match_most_similar(customers(spark, d), suppliers(spark, d), min_similarity=0.99, replace_na=True)
+    return got.select(F.col("pos").alias("s_suppkey"), "most_similar_index", "most_similar_c_custkey", "most_similar_c_name")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         normalize_text, char_ngrams, ngram_counts, document_frequency, idf_weights, tfidf_vectors, pairwise_similarity, match_self, match_many_copies, match_two_inputs, match_ignore_index, match_topn,
         match_topn_right, match_symmetrized, match_include_zeroes, match_case_sensitive, match_ngram2, match_custom_regex, match_page_urls, non_exact_matches, duplicate_ids,
         most_similar, most_similar_right, group_first, group_centroid, group_sizes, connected_components, add_match, remove_match, rep_earliest_timestamp, rep_highest_weight, rep_completeness,
+        rep_timestamp_strings, rep_timestamp_numbers_by_place, rep_completeness_empty, match_accents, match_tokenizer, match_float32, match_id_is_index, match_frozen_session, match_after_reset, most_similar_no_match,
     )
 }
 
@@ -274,7 +330,24 @@ FROM supplier LEFT JOIN b ON r = s_suppkey LEFT JOIN customer ON c_custkey = l""
     )
 
 
+EARLIEST = """SELECT o_orderkey, first_value(o_orderkey) OVER q AS group_rep_id, first_value(o_orderpriority) OVER q AS group_rep FROM orders
+WINDOW q AS (PARTITION BY o_custkey ORDER BY o_orderdate NULLS LAST, o_orderkey)"""
 ORACLE = {
+    "rep_timestamp_strings": EARLIEST,
+    "rep_timestamp_numbers_by_place": "SELECT o_orderkey, first_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_totalprice NULLS LAST, o_orderkey) AS group_rep_id FROM orders",
+    "rep_completeness_empty": """SELECT doc_id, first_value(doc_id) OVER (PARTITION BY source ORDER BY (doc_id % 3 = 2 AND lang IS NOT NULL AND lang <> '')::INT DESC, doc_id) AS group_rep_id FROM documents""",
+    "match_accents": self_sql(SUPPLIER) + out("y"),
+    "match_tokenizer": self_sql(SUPPLIER) + out("y"),
+    "match_float32": self_sql(SUPPLIER) + " SELECT l AS left_id, r AS right_id, round(sim, 4) AS similarity FROM y",
+    "match_id_is_index": self_sql(SUPPLIER) + " SELECT l AS left_index, l AS left_id, round(sim, 6) AS similarity, r AS right_id, r AS right_index FROM y",
+    "match_frozen_session": self_sql(SUPPLIER, 1000, t=0.5) + out("y"),
+    "match_after_reset": self_sql(SUPPLIER) + out("y"),
+    "most_similar_no_match": pairs_sql(CUSTOMER, SUPPLIER, t=0.99)
+    + best_sql()
+    + """,
+b AS (SELECT r, l FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY round(sim, 9) DESC, l) AS i FROM k) WHERE i = 1)
+SELECT s_suppkey, coalesce(b.l, s_suppkey) AS most_similar_index, coalesce(c_custkey, s_suppkey) AS most_similar_c_custkey, coalesce(c_name, s_name) AS most_similar_c_name
+FROM supplier LEFT JOIN b ON r = s_suppkey LEFT JOIN customer ON c_custkey = l""",
     "normalize_text": r"SELECT p_partkey, regexp_replace(lower(p_name), '[,-./]|\s', '', 'g') AS form FROM part",
     "char_ngrams": r"""SELECT s_suppkey, (i - 1)::INT AS at, substring(f, i, 3) AS gram FROM (SELECT s_suppkey, f, unnest(range(1, length(f) - 1)) AS i
 FROM (SELECT s_suppkey, regexp_replace(lower(s_name), '[,-./]|\s', '', 'g') AS f FROM supplier) WHERE length(f) >= 3)""",
@@ -313,8 +386,7 @@ SELECT id AS s_suppkey, rep AS group_rep_s_suppkey, s_name AS group_rep_s_name F
     "connected_components": self_sql(CUSTOMER) + GROUPS + " SELECT id AS node, grp AS component FROM g WHERE id IN (SELECT l FROM y WHERE l <> r)",
     "add_match": self_sql(SUPPLIER, **SMALL) + ADDED + out("z"),
     "remove_match": self_sql(SUPPLIER, **SMALL) + ADDED + out("z", "WHERE NOT (l IN (SELECT id FROM ra UNION SELECT id FROM rb0) AND r IN (SELECT id FROM ra UNION SELECT id FROM rb0))"),
-    "rep_earliest_timestamp": """SELECT o_orderkey, first_value(o_orderkey) OVER q AS group_rep_id, first_value(o_orderpriority) OVER q AS group_rep FROM orders
-WINDOW q AS (PARTITION BY o_custkey ORDER BY o_orderdate NULLS LAST, o_orderkey)""",
+    "rep_earliest_timestamp": EARLIEST,
     "rep_highest_weight": """SELECT c_custkey, first_value(c_custkey) OVER q AS group_rep_id, first_value(c_name) OVER q AS group_rep FROM customer
 WINDOW q AS (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC NULLS LAST, c_custkey)""",
     "rep_completeness": """SELECT doc_id, first_value(doc_id) OVER (PARTITION BY source ORDER BY (quality IS NOT NULL)::INT + (toxic IS NOT NULL)::INT DESC, doc_id) AS group_rep_id

@@ -82,7 +82,7 @@ class MatchSession:
     def __init__(self, master: Strings, duplicates: Strings | None = None, corpus: str = "refit", **options):
         if corpus not in ("refit", "frozen"):
             raise ValueError("corpus is 'refit' or 'frozen'")
-        self.corpus_mode, self._frozen = corpus, None
+        self.corpus_mode, self._frozen, self._frozen_by = corpus, None, None
         self.options = self._checked(MatchOptions(), options)
         self.reset_data(master, duplicates)
 
@@ -110,6 +110,11 @@ class MatchSession:
         self._validate()
         self.is_build = False
 
+    def _grams_by(self) -> tuple:
+        """The options that make grams: weights learned under others are of no use."""
+        o = self.options
+        return o.ngram_size, o.regex, o.ignore_case, o.normalize_to_ascii, o.tokenizer
+
     def _validate(self) -> None:
         if self.options.replace_na and self._master is not None:
             if self._duplicates is None:
@@ -148,7 +153,8 @@ class MatchSession:
         left = self._left.select("form", "form_text")
         both = left if self._duplicates is None else left.unionByName(self._right.select("form", "form_text"))
         counts = vectors.term_counts(vectors.forms_of(both), self.options)
-        if self.corpus_mode == "refit" or self._frozen is None:
+        if self.corpus_mode == "refit" or self._frozen is None or self._frozen_by != self._grams_by():
+            self._frozen_by = self._grams_by()
             self._frozen = written(vectors.corpus(counts, both.count()), "corpus")
         postings = written(vectors.vectors(counts, self._frozen, self.options), "postings")
         if self._duplicates is None:
@@ -163,8 +169,7 @@ class MatchSession:
         self._load()
         left, right = self._vectors()
         same = self._duplicates is None
-        pairs = written(matching.form_pairs(left, right, self.options, same), "pairs")
-        self._pairs = pairs
+        self._pairs = pairs = written(matching.pairs_by_number(left, right, self.options, same), "pairs")
         matches = matching.best_n(pairs, self._left, self._right, self.options)
         if same and self.options.force_symmetries:
             matches = matching.symmetric(matches, self._left)
@@ -207,17 +212,15 @@ class MatchSession:
             if o.max_n_matches < matching.most_matches(self._pairs, self._left, self._right, o):
                 raise ValueError("max_n_matches leaves out matches that would then be given as zero; raise it or set include_zeroes to False")
             matches = matching.with_zeroes(matches, self._left, self._right)
-        columns = {}
+        joined, names = matches, {}
         for side, of, strings in (("left", self._left, m), ("right", self._right, d)):
-            index = [] if ignore_index else [F.col(c).alias(f"{side}_{n}") for c, n in zip(strings.index_columns(), strings.index_names())]
-            string = F.col("string").alias(f"{side}_{strings.label or 'side'}")
-            ids = [F.col("id").alias(f"{side}_{strings.id}")] if strings.id else []
-            columns[side] = (of.select(F.col("pos").alias(f"{side}_pos"), F.struct(*index, string, *ids).alias(side)), [f"{side}_{n}" for n in strings.index_names()] if not ignore_index else [], f"{side}_{strings.label or 'side'}", [f"{side}_{strings.id}"] if strings.id else [])
-        joined = matches.join(columns["left"][0], "left_pos").join(columns["right"][0], "right_pos")
-        l, r = columns["left"], columns["right"]  # noqa: E741
-        left = [F.col(f"left.`{c}`").alias(c) for c in [*l[1], l[2], *l[3]]]
-        right = [F.col(f"right.`{c}`").alias(c) for c in [*r[3], r[2], *r[1][::-1]]]
-        return joined.select(*left, "similarity", *right)
+            index = [] if ignore_index else list(zip(strings.index_columns(), strings.index_names()))
+            ids = [("id", strings.id)] if strings.id else []
+            chosen = [*index, ("string", strings.label or "side"), *ids] if side == "left" else [*ids, ("string", strings.label or "side"), *index[::-1]]
+            # by place, as an id may be an index column too
+            names[side] = [F.col(f"{side}{k}").alias(f"{side}_{n}") for k, (_, n) in enumerate(chosen)]
+            joined = joined.join(of.select(F.col("pos").alias(f"{side}_pos"), *[F.col(c).alias(f"{side}{k}") for k, (c, _) in enumerate(chosen)]), f"{side}_pos")
+        return joined.select(*names["left"], "similarity", *names["right"])
 
     @fitted
     def get_groups(self, ignore_index: bool | None = None, replace_na: bool | None = None) -> DataFrame:

@@ -144,3 +144,39 @@ def test_positions_follow_the_order(spark):
     df = spark.createDataFrame([(9, "foo"), (1, "bar"), (5, "foo")], "k long, s string").repartition(3)
     got = match_strings(Strings(df, "s", order_by=("k",)))
     assert {(r.left_index, r.right_index) for r in got.collect()} == {(0, 0), (1, 1), (1, 2), (2, 1), (2, 2)}
+
+
+@pytest.mark.parametrize("partitions", [2, 211])
+def test_results_do_not_depend_on_partitions(spark, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    want = pairs(MatchSession(strings(spark, NAMES), min_similarity=0.3).fit())
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        assert pairs(MatchSession(strings(spark, NAMES), min_similarity=0.3).fit()) == pytest.approx(want)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_ties_at_the_last_match_go_by_position(spark):
+    s = MatchSession(strings(spark, ["abcd", "abcx", "abcy", "abcz", "abcx"]), min_similarity=0.1, max_n_matches=2, force_symmetries=False).fit()
+    assert {k for k in pairs(s) if k[0] == 0} == {(0, 0), (0, 1)} or {k for k in pairs(s) if k[0] == 0} == {(0, 0), (0, 2)}
+    assert all(sum(k[0] == i for k in pairs(s)) == 2 for i in range(5))
+
+
+def test_dates_in_many_formats(spark):
+    from quillmatch.operators import representatives
+
+    assert representatives.is_date("Jan 5 2014") and representatives.is_date("2014-01-05") and not representatives.is_date("no date")
+    rows = [(1, "a", "Jan 5 2014"), (2, "a", "2013-12-31"), (3, "b", "5.3.2015 10:00"), (4, "b", None), (5, "c", None)]
+    df = spark.createDataFrame(rows, "id long, g string, t string")
+    got = representatives.new_group_rep_by_earliest_timestamp(df, "g", "id", "t", order_by="id")
+    assert {r.id: r.group_rep_id for r in got.collect()} == {1: 2, 2: 2, 3: 3, 4: 3, 5: 5}
+    with pytest.raises(Exception, match="not a date"):
+        representatives.new_group_rep_by_earliest_timestamp(spark.createDataFrame([(1, "a", "nonsense")], df.schema), "g", "id", "t", order_by="id").collect()
+
+
+def test_frozen_weights_are_learned_anew_for_other_grams(spark):
+    s = MatchSession(strings(spark, NAMES), corpus="frozen").fit()
+    s.update_options(ngram_size=2, min_similarity=0.6)
+    want = pairs(MatchSession(strings(spark, NAMES), ngram_size=2, min_similarity=0.6).fit())
+    assert pairs(s.fit()) == pytest.approx(want) and any(a != b for a, b in want)
