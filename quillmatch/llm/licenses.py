@@ -12,7 +12,8 @@ index of such short templates. So any run of ``GRAM + WINDOW - 1`` words in comm
 The templates are a bounded list in the code of each worker (``TEMPLATES`` or the caller's; at most ``MOST_WORDS`` words together). Nothing is exchanged.
 
 Cases: null text counts as empty (no rows); templates without words match nothing; several notices in one text give a row each; of
-overlapping matches of one template the better counts; repeated rows give repeated results; empty tables give empty results; extra columns don't matter.
+overlapping matches of one template the better counts, of different templates (texts of one family, or a notice that begins a longer text) the one with more matched words, where
+they share half of the lesser's span; repeated rows give repeated results; empty tables give empty results; extra columns don't matter. A key with the name of a result column is called ``key``.
 """
 
 from __future__ import annotations
@@ -34,7 +35,28 @@ GRAM, WINDOW, COVERAGE, BAND, MOST_WORDS, STEP = 3, 6, 0.75, 12, 500_000, 1 << 2
 #: Templates of at most so many words keep all of their hashes.
 SHORT = 16
 
-# License notices by name, as projects put them into their files: fixed values.
+# License texts and notices by name, as projects put them into their files: fixed values.
+BSD_CONDITIONS = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code "
+    "must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this "
+    "list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+BSD_NAMES = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written "
+    "permission. "
+)
+BSD_DISCLAIMER = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF "
+    "MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, "
+    "EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+GNU = (
+    "This {work} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, either version {version} of "
+    "the License, or (at your option) any later version. This {work} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+    "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details."
+)
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
@@ -47,24 +69,31 @@ TEMPLATES = {
         "without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
         "persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies "
         "or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
-        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
+        "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
     ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this "
+        "permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF "
+        "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF "
+        "USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "BSD-2-Clause": BSD_CONDITIONS + BSD_DISCLAIMER,
+    "BSD-3-Clause": BSD_CONDITIONS + BSD_NAMES + BSD_DISCLAIMER,
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
         "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, "
         "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
     ),
-    "GPL-3.0": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either "
-        "version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
-        "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
-    ),
-    "BSD-3-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code "
-        "must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this "
-        "list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the "
-        "names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at "
+        "http://mozilla.org/MPL/2.0/."
     ),
+    "GPL-2.0": GNU.format(work="program", name="General Public License", version="2"),
+    "GPL-3.0": GNU.format(work="program", name="General Public License", version="3"),
+    "LGPL-2.1": GNU.format(work="library", name="Lesser General Public License", version="2.1"),
+    "LGPL-3.0": GNU.format(work="library", name="Lesser General Public License", version="3"),
+    "AGPL-3.0": GNU.format(work="program", name="Affero General Public License", version="3"),
 }
 RESULT = "license string, coverage double, start long, `end` long, runs array<struct<start: long, `end`: long>>"
 
@@ -176,6 +205,27 @@ def notices(template: np.ndarray, text: np.ndarray, hits: list[tuple[int, int]])
     return found
 
 
+def strongest(found: list[tuple[int, float, int, int]]) -> list[int]:
+    """The indices of the matches (words matched, coverage, start, end) that stay: one goes if half of its span lies in that of a better one that stays. Better is
+    more words, then more coverage, then the earlier index. Matches of one template don't overlap, so few are open at a time."""
+    rank = sorted(range(len(found)), key=lambda i: (-found[i][0], -found[i][1], i))
+    order = {i: k for k, i in enumerate(rank)}
+    rivals: list[list[int]] = [[] for _ in found]
+    open_: list[int] = []
+    for i in sorted(range(len(found)), key=lambda i: found[i][2]):
+        start, end = found[i][2:]
+        open_ = [j for j in open_ if found[j][3] > start]
+        for j in open_:
+            best, worst = sorted((i, j), key=order.__getitem__)
+            if 2 * (min(end, found[j][3]) - start) >= found[worst][3] - found[worst][2]:
+                rivals[worst].append(best)
+        open_.append(i)
+    stays = [False] * len(found)
+    for i in rank:
+        stays[i] = not any(stays[j] for j in rivals[i])
+    return [i for i, s in enumerate(stays) if s]
+
+
 class Index:
     """Inverted index of template fingerprints."""
 
@@ -222,20 +272,23 @@ class Index:
             if chosen[i] or self.short[p]:
                 for k, j in self.places[p]:
                     by[t, k].append((i - first[t] - j, i - int(first[t])))
-        rows = []
+        found: dict[int, list] = defaultdict(list)
         for (t, k), hits in sorted(by.items()):
             template, own = self.words[k], hashes[first[t] : first[t + 1]]
-            for pairs in notices(template, own, [(int(shift), i) for shift, i in hits]):
-                a, z = pairs[0][1], pairs[-1][1] + 1
+            found[t] += [(k, pairs) for pairs in notices(template, own, [(int(shift), i) for shift, i in hits])]
+        rows = []
+        for t, matches in found.items():
+            at = int(first[t])
+            byte = lambda lo, hi: (int(starts[at + lo] - offsets[t]), int(ends[at + hi - 1] - offsets[t]))
+            for x in strongest([(len(pairs), len(pairs) / len(self.words[k]), pairs[0][1], pairs[-1][1] + 1) for k, pairs in matches]):
+                k, pairs = matches[x]
                 runs: list[list[int]] = []
                 for i, j in pairs:
                     if runs and runs[-1][1] == j and runs[-1][2] == i:
                         runs[-1][1:] = [j + 1, i + 1]
                     else:
                         runs.append([j, j + 1, i + 1])
-                at = int(first[t])
-                byte = lambda lo, hi: (int(starts[at + lo] - offsets[t]), int(ends[at + hi - 1] - offsets[t]))
-                rows.append((t, self.names[k], len(pairs) / len(template), *byte(a, z), [dict(zip(("start", "end"), byte(x, y))) for x, y, _ in runs]))
+                rows.append((t, self.names[k], len(pairs) / len(self.words[k]), *byte(pairs[0][1], pairs[-1][1] + 1), [dict(zip(("start", "end"), byte(a, z))) for a, z, _ in runs]))
         return rows
 
 
@@ -257,7 +310,8 @@ def find_licenses(df: DataFrame, key: str = "doc_id", text: str = "text", templa
                     yield pa.RecordBatch.from_arrays([keys, *[pa.array([g[j] for g in got], out.field(j).type) for j in range(1, 6)]], schema=out)
         give_back()
 
-    return docs.mapInArrow(run, schema).withColumnRenamed("key", key)
+    found = docs.mapInArrow(run, schema)
+    return found if key.lower() in {f.name for f in schema.fields} else found.withColumnRenamed("key", key)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
