@@ -2,8 +2,11 @@
 
 Method: each language has a codeword. For every bit a binary classifier over hashed byte trigrams (log odds of the trigram among the languages whose
 bit is set against the others, smoothed, languages weighing alike) gives a margin; the margins are decoded to the codeword of the least loss, where
-the loss of a bit is logistic and weighs by how well its classifier tells the two sides apart. A text whose best codeword has a
-posterior under ``CERTAIN`` is flagged as ambiguous.
+the loss of a bit is logistic and weighs by how well its classifier tells the two sides apart.
+
+A text is flagged as ambiguous if its best codeword has a posterior under ``CERTAIN``, or if it lies too near the next one: on the bits in which the two
+differ, its mean margin is placed between those that texts of either language have as a rule (0: the next, 1: the best), and a place under ``PURE`` says that over a third of
+the text is the other language's. The posterior alone rarely tells, as it grows with a text's length whatever the mixture.
 
 Learning counts trigrams of all training rows: a table of languages by ``BUCKETS`` numbers, summed map-side, is all that reaches
 the driver; more than ``MOST_LANGUAGES`` languages are an error.
@@ -27,7 +30,7 @@ from quillmatch.llm.rows import blocks, map_blocks
 from quillmatch.llm.words import utf8
 from quillmatch.operators.skew import fresh
 
-BUCKETS, MOST_LANGUAGES, CERTAIN, STEP = 1 << 14, 1_000, 0.6, 1 << 20
+BUCKETS, MOST_LANGUAGES, CERTAIN, PURE, STEP = 1 << 14, 1_000, 0.6, 2 / 3, 1 << 20
 #: Letters and bytes beyond ASCII stand for themselves, all else for a space.
 PLAIN = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint32)
 
@@ -84,27 +87,36 @@ class Model:
             weights.append(w.astype(np.float32))
             trust.append(((on - off) * w).sum())  # how far the two sides' expected margins are apart
         self.weights = np.array(weights, np.float32).reshape(len(weights), BUCKETS)
+        self.usual = share @ self.weights.T  # (languages, bits): the mean margin of a trigram in texts of a language
         self.trust = np.array(trust) / max(1e-9, sum(trust)) * len(trust) if trust else np.zeros(0)
 
-    def margins(self, column: pa.Array) -> np.ndarray:
-        """(texts, bits): summed log odds over the root of their number."""
+    def margins(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(texts, bits): summed log odds over the root of their number, and these roots."""
         bucket, offsets = trigrams(column)
-        out = np.zeros((len(column), len(self.weights)))
+        out, root = np.zeros((len(column), len(self.weights))), np.ones(len(column))
         some = np.flatnonzero(np.diff(offsets) > 0)
         if not len(some):
-            return out
-        n = np.maximum(1, np.add.reduceat((bucket > 0).astype(np.int32), offsets[some]))
+            return out, root
+        root[some] = np.sqrt(np.maximum(1, np.add.reduceat((bucket > 0).astype(np.int32), offsets[some])))
         for b, w in enumerate(self.weights):
-            out[some, b] = np.add.reduceat(w[bucket], offsets[some]) / np.sqrt(n)
-        return out
+            out[some, b] = np.add.reduceat(w[bucket], offsets[some]) / root[some]
+        return out, root
 
-    def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index of the nearest codeword, its posterior)."""
+    def decode(self, margins: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index of the nearest codeword, its posterior, the text's place between the next codeword and it)."""
         loss = np.stack([(self.trust * np.logaddexp(0, -word * margins)).sum(1) for word in self.words], 1)
         p = np.exp(loss.min(1, keepdims=True) - loss)
         p /= p.sum(1, keepdims=True)
-        best = p.argmax(1)
-        return best, p[np.arange(len(p)), best]
+        best, row = p.argmax(1), np.arange(len(p))
+        score = p[row, best]
+        if len(self.words) < 2:
+            return best, score, np.ones(len(p))
+        others = loss.copy()
+        others[row, best] = np.inf
+        second = others.argmin(1)
+        sign = self.trust * (self.words[best] - self.words[second])  # 0 where the codewords agree
+        text, one, two = ((sign * m).sum(1) for m in (margins / root[:, None], self.usual[best], self.usual[second]))
+        return best, score, (text - two) / np.maximum(1e-9, one - two)
 
 
 def held_out(key: Column) -> Column:
@@ -154,13 +166,13 @@ def predict(df: DataFrame, model: Model, text: str = "text", names: tuple[str, s
                 letters = pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False).to_pylist()
                 if not model.languages:
                     letters = [False] * len(letters)
-                    best, score = np.zeros(len(letters), int), np.zeros(len(letters))
+                    best, score, place = np.zeros(len(letters), int), np.zeros(len(letters)), np.zeros(len(letters))
                 else:
-                    best, score = model.decode(model.margins(column))
-                for ok, b, s in zip(letters, best.tolist(), score.tolist()):
+                    best, score, place = model.decode(*model.margins(column))
+                for ok, b, s, p in zip(letters, best.tolist(), score.tolist(), place.tolist()):
                     names.append(model.languages[b] if ok else "und")
                     scores.append(s if ok else 0.0)
-                    flags.append(ok and s < CERTAIN)
+                    flags.append(ok and (s < CERTAIN or p < PURE))
             return [names, scores, flags]
 
         return run
@@ -175,7 +187,8 @@ def op5(spark, sf_dir: str) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language is recognised: neither ``und`` nor ambiguous, with all their columns, whatever their names. Learned from the docs themselves."""
+    """The rows of ``docs`` whose language is recognised: not ``und``, and a score of ``CERTAIN`` at least, with all their columns, whatever their names. Texts that mix
+    languages stay. Learned from the docs themselves."""
     names = tuple(fresh(docs.columns, "lang_pred", "score", "ambiguous"))
-    known = predict(docs, learn(docs), "text", names).where((F.col(names[0]) != "und") & ~F.col(names[2]))
+    known = predict(docs, learn(docs), "text", names).where((F.col(names[0]) != "und") & (F.col(names[1]) >= CERTAIN))
     return known.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -271,6 +271,38 @@ def test_language_held_out(spark, documents):
     assert p.where("lang_pred = lang").count() > 0.97 * p.count()
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 6, 7, 12, 40])
+def test_codewords_are_apart(n):
+    words = language.codewords(n)
+    apart = [(words[i] != words[j]).sum() for i in range(n) for j in range(i)]
+    assert len(words) == n and all(set(w) <= {-1, 1} and abs(w.sum()) < n for w in words.T)
+    assert not apart or min(apart) >= max(1, words.shape[1] // 5)
+
+
+def test_many_languages_by_codewords(spark):
+    """Twelve made-up languages, by hashed trigrams and random codewords; decoding against plain loops; texts of two languages in equal parts are ambiguous."""
+    import math
+
+    r = random.Random(12)
+    vocabulary = {f"l{k:02}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(40)] for k in range(12)}
+    text = lambda lang, n=30: " ".join(r.choice(vocabulary[lang]) for _ in range(n))
+    rows = [(i, text(lang), lang) for i, lang in enumerate(sorted(vocabulary) * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(df)
+    got = language.predict(df.withColumn("held", language.held_out(F.col("doc_id"))), model).where("held").collect()
+    assert len(got) > 20 and sum(x.lang_pred == x.lang for x in got) >= 0.97 * len(got)
+    mixed = [text(a, 15) + " " + text(b, 15) for a, b in (r.sample(sorted(vocabulary), 2) for _ in range(40))]
+    assert sum(x.ambiguous for x in got) <= 0.03 * len(got)
+    flags = [x.ambiguous for x in language.predict(spark.createDataFrame([(t,) for t in mixed], "text string"), model).collect()]
+    assert sum(flags) > 0.9 * len(flags)
+    margins, root = model.margins(pa.array(mixed))
+    best, score, _ = model.decode(margins, root)
+    for m, b, s in zip(margins, best, score):
+        losses = [sum(w * math.log1p(math.exp(-c * x)) if -c * x < 500 else w * -c * x for w, c, x in zip(model.trust, word, m)) for word in model.words]
+        shares = [math.exp(min(losses) - x) for x in losses]
+        assert b == losses.index(min(losses)) and abs(s - max(shares) / sum(shares)) < 1e-9
+
+
 @pytest.mark.parametrize("whole", [near_dedup.WHOLE, 3])
 def test_near_duplicates_against_brute_force(spark, monkeypatch, whole):
     monkeypatch.setattr(near_dedup, "WHOLE", whole)  # 3: most buckets go by hubs and the rest that these leave
@@ -463,6 +495,44 @@ def test_html(spark):
         assert len(html_text.shared_lines(a, b)) == best[-1][-1]
 
 
+def test_html_against_brute_force(spark):
+    """Pages of three hosts, with and without main parts, against neighbours found by sorting all pages in one list."""
+    from urllib.parse import urlsplit
+
+    r = random.Random(8)
+    pages = []
+    for i in range(150):
+        host = r.choice(["a.example", "b.example", "b.example", "c.example"])
+        lines = [f"<p>{host} line {r.randrange(6)}</p>" for _ in range(r.randrange(5))] + [f"<p>A longer line of page {i}, number {k}</p>" for k in range(r.randrange(4))]
+        r.shuffle(lines)
+        body = "".join(lines)
+        pages.append((i, f"http://{host}/{r.randrange(40)}/{i}", f"<nav>Menu</nav><article>{body}</article>" if r.random() < 0.5 else f"<div>{body}</div><footer>f</footer>"))
+    df = spark.createDataFrame([*pages, *pages[:3]], "page_id long, url string, html string")
+    got = html_text.main_text(df).collect()
+    assert len(got) == 153
+    order = sorted(pages, key=lambda p: (urlsplit(p[1]).netloc, urlsplit(p[1]).path))
+    parsed = [html_text.lines_of(p[2]) for p in order]
+    want = {}
+    for at, ((i, url, _), (lines, has_main)) in enumerate(zip(order, parsed)):
+        near = [parsed[k][0] if 0 <= k < len(order) and urlsplit(order[k][1]).netloc == urlsplit(url).netloc else None for k in (at - 1, at + 1, at - 2, at + 2)]
+        cut = html_text.site_lines(lines, [len(t) for t in lines], has_main, near)
+        want[i] = "\n\n".join(t for k, t in enumerate(lines) if k not in cut)
+    assert {x.page_id: x.text for x in got} == want and any(len(want[i]) < len("\n\n".join(p[0])) for (i, *_), p in zip(order, parsed))
+    assert all(x.n_chars == len(x.text) for x in got)
+
+
+def test_html_of_odd_rows(spark):
+    schema = "page_id long, url string, html string, text string, key string, host string, shared string"
+    long = "<p>" + "word " * 60_000 + "</p>"
+    rows = [(1, None, "<p>A</p>", "t", "k", "h", "s"), (2, "http://x/", "", None, None, None, None), (None, "not a url", "<p>B", None, None, None, None), (3, "http://y/1", long, "t", None, None, None), (3, "http://y/1", long, "t", None, None, None), (4, "http://z/", "<<<>&&#;<p", None, None, None, None)]
+    got = html_text.main_text(spark.createDataFrame(rows, schema)).collect()
+    assert len(got) == 6 and all(x.text is not None for x in got)
+    assert [x.n_chars for x in got if x.page_id == 3] == [299_999] * 2
+    text = {x.page_id: x.text for x in got}
+    assert (text[1], text[2], text[None]) == ("A", "", "B")
+    assert html_text.main_text(spark.createDataFrame([], schema)).collect() == []
+
+
 def test_licenses(spark):
     mit = licenses.TEMPLATES["MIT"].replace("any person", "every person")
     rows = licenses.find_licenses(spark.createDataFrame([(1, "x y z " + mit + " q"), (2, "Nothing here."), (3, None), (4, "Released under the MIT License.")], "doc_id long, text string")).collect()
@@ -480,6 +550,68 @@ def test_licenses_close_together():
         assert spans == {" ".join(re.findall(r"\w+", licenses.TEMPLATES[name].lower()))}
 
 
+def common(a, b):
+    """The length of a longest common subsequence, by all cells."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before, row = row, [0] * (len(b) + 1)
+        for j, y in enumerate(b):
+            row[j + 1] = before[j] + 1 if x == y else max(before[j + 1], row[j])
+    return row[-1]
+
+
+@pytest.mark.parametrize("times", [1, 2, 100])
+def test_licenses_against_exhaustive_alignment(times):
+    r = random.Random(times)
+    template = [f"t{r.randrange(10**6)}" for _ in range(40)]
+    index = licenses.Index({"own": " ".join(template)})
+    planted = []
+    for _ in range(times):
+        notice = list(template)
+        for at in r.sample(range(1, 39), 2):
+            notice[at] = f"x{r.randrange(10**6)}"
+        planted.append(notice)
+    text = ["begin"] + [w for n in planted for w in [*n, *[f"f{r.randrange(10**6)}" for _ in range(r.randrange(4))]]]
+    rows = sorted(index.scan(pa.array([" ".join(text)])), key=lambda x: x[3])
+    assert len(rows) == times
+    for row, notice in zip(rows, planted):
+        words = " ".join(text)[row[3] : row[4]].split()
+        assert row[2] == common(template, words) / 40 == common(template, notice) / 40 and words == notice
+
+
+def test_license_families():
+    index = licenses.Index(licenses.TEMPLATES)
+    for name, text in licenses.TEMPLATES.items():
+        rows = index.scan(pa.array([f"Some words before. {text} Some words after."]))
+        assert [(x[1], x[2]) for x in rows] == [(name, 1.0)]
+    both = index.scan(pa.array([f"{licenses.TEMPLATES['MIT']} {licenses.TEMPLATES['ISC']}"]))
+    assert [x[1] for x in both] == ["MIT", "ISC"]
+
+
+def test_license_overlaps_against_all_pairs():
+    r = random.Random(9)
+    for _ in range(200):
+        found = []
+        for _ in range(r.randrange(12)):
+            a = r.randrange(60)
+            n = r.randint(1, 20)
+            found.append((n, r.choice([0.8, 0.9, 1.0]), a, a + n + r.randrange(3)))
+        kept = []
+        for i in sorted(range(len(found)), key=lambda i: (-found[i][0], -found[i][1], i)):
+            if all(2 * (min(found[i][3], found[j][3]) - max(found[i][2], found[j][2])) < found[i][3] - found[i][2] for j in kept):
+                kept.append(i)
+        assert licenses.strongest(found) == sorted(kept)
+
+
+def test_licenses_of_odd_rows(spark):
+    odd = spark.createDataFrame([*ODD, (6, "All rights reserved.", None, None, None, None, None, None), (6, "All rights reserved.", None, None, None, None, None, None)], SCHEMA)
+    assert [(x.doc_id, x.license) for x in licenses.find_licenses(odd).collect()] == [(6, "all-rights-reserved")] * 2
+    assert licenses.find_licenses(spark.createDataFrame([], SCHEMA)).collect() == []
+    clash = licenses.find_licenses(odd.withColumnRenamed("doc_id", "license"), key="license")
+    assert clash.columns[:2] == ["key", "license"] and clash.select("key").distinct().collect()[0][0] == 6
+    assert licenses.find_licenses(odd, templates={"none": "?!"}).collect() == []
+
+
 def test_short_licenses_with_one_word_changed():
     r = random.Random(2)
     for size in (8, 9, 11, 12, 16):
