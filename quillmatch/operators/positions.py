@@ -14,9 +14,8 @@ def with_positions(df: DataFrame, to: str, order_by: Sequence[str] = ()) -> Data
     """Adds 0, 1, 2, ... in the order of ``order_by``, or in the order in which the rows are read."""
     if order_by:
         df = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
-    marked = df.withColumn("__at", F.monotonically_increasing_id())
-    if order_by:
-        marked = written(marked, "ordered")  # ranges are sampled: they hold for one reading only
+    # ranges are sampled, and the order of a reading may change: both hold for one reading only
+    marked = written(df.withColumn("__at", F.monotonically_increasing_id()), "ordered")
     # As many rows as partitions.
     counts = sorted((r[0], r[1]) for r in marked.groupBy(F.shiftright("__at", 33).alias("p")).count().collect())
     begin, rows = 0, []

@@ -148,14 +148,24 @@ class MatchSession:
 
     # -- building
 
+    def _counts(self, rows: DataFrame) -> DataFrame:
+        """Counts of the grams of ``rows`` (form, form_text), from which weights are learned unless frozen ones are there."""
+        counts = vectors.term_counts(vectors.forms_of(rows), self.options)
+        if self.corpus_mode == "refit" or self._frozen is None or self._frozen_by != self._grams_by():
+            self._frozen_by = self._grams_by()
+            self._frozen = written(vectors.corpus(counts, rows.count()), "corpus")
+        return counts
+
+    def learn(self) -> MatchSession:
+        """Learns weights from master alone; a frozen session then keeps these."""
+        self._counts(self._master.rows(self.options).select("form", "form_text"))
+        return self
+
     def _vectors(self) -> tuple[DataFrame, DataFrame]:
         """Postings of the forms of either side; weights come from both sides' rows together."""
         left = self._left.select("form", "form_text")
         both = left if self._duplicates is None else left.unionByName(self._right.select("form", "form_text"))
-        counts = vectors.term_counts(vectors.forms_of(both), self.options)
-        if self.corpus_mode == "refit" or self._frozen is None or self._frozen_by != self._grams_by():
-            self._frozen_by = self._grams_by()
-            self._frozen = written(vectors.corpus(counts, both.count()), "corpus")
+        counts = self._counts(both)
         postings = written(vectors.vectors(counts, self._frozen, self.options), "postings")
         if self._duplicates is None:
             return postings, postings

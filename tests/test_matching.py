@@ -180,3 +180,20 @@ def test_frozen_weights_are_learned_anew_for_other_grams(spark):
     s.update_options(ngram_size=2, min_similarity=0.6)
     want = pairs(MatchSession(strings(spark, NAMES), ngram_size=2, min_similarity=0.6).fit())
     assert pairs(s.fit()) == pytest.approx(want) and any(a != b for a, b in want)
+
+
+def test_stream_does_not_depend_on_batches(spark, tmp_path):
+    from quillmatch.streaming.incremental import match_stream
+
+    masters = spark.createDataFrame([(i, s) for i, s in enumerate(["alpha company", "beta corporation", "gamma limited"])], "k long, s string")
+    master = Strings(masters, "s", key="k")
+    new = [(10, "alpha companies"), (11, "beta corporations"), (12, "unlike")]
+    for row in new:
+        spark.createDataFrame([row], "k long, t string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k long, t string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = []
+    writer = match_stream(stream, "t", master, lambda pairs, number: got.extend((r.left_s, round(r.similarity, 9), r.right_t) for r in pairs.collect()), min_similarity=0.4)
+    writer.option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start().awaitTermination()
+    whole = MatchSession(master, corpus="frozen", min_similarity=0.4).learn().match_strings(master, Strings(spark.createDataFrame(new, "k long, t string"), "t", key="k"))
+    assert sorted(got) == sorted((r.left_s, round(r.similarity, 9), r.right_t) for r in whole.collect())
+    assert {(a, b) for a, _, b in got} == {("alpha company", "alpha companies"), ("beta corporation", "beta corporations")}
