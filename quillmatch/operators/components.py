@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmatch.shared import written
+from quillmatch.shared import delete, new_path, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -26,14 +26,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     """(node, component) for every node of an edge; component is the least node of its component. Nodes without an edge are not returned.
 
     Each round is written to the shared folder, so neither the plan nor a node's links grow with the rounds, and no node or
-    link reaches the driver. Null ends and self-links are ignored.
+    link reaches the driver. A round's table is deleted once the next one is written, so two are there at most. Null ends and self-links are ignored.
     """
     left, right = F.col(f"`{a}`"), F.col(f"`{b}`")
     links = edges.where(left.isNotNull() & right.isNotNull() & (left != right)).select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b")).distinct()
-    links = written(links, "links")
-    before = None
+    spark = edges.sparkSession
+    path = new_path(spark, "links")
+    links, before = written(links, path=path), None
     for _ in range(most_rounds):
-        links = written(_small_star(_large_star(links)), "links")
+        last, path = path, new_path(spark, "links")
+        links = written(_small_star(_large_star(links)), path=path)
+        delete(spark, last)
         # All stars point at their least node once no link changes; the sum over links tells.
         state = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:

@@ -19,16 +19,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """``df`` as a Parquet table of the shared folder, read again."""
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of the shared folder that no table has."""
+    return f"{shared_folder(spark)}/quillmatch-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str = "table", path: str | None = None) -> DataFrame:
+    """``df`` as a Parquet table of the shared folder (at ``path``, if given), read again."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/quillmatch-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = path or new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a table; whatever still reads it must be consumed before."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release(spark: SparkSession) -> None:
     """Deletes the tables that this application wrote; results that still read them must be consumed before."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/quillmatch-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, f"{shared_folder(spark)}/quillmatch-{spark.sparkContext.applicationId}")
