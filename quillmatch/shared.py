@@ -14,8 +14,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="quillmatch-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context = spark.sparkContext  # the setting is fixed once a session runs, so the folder is kept here
+        folder = getattr(context, "_quillmatch_folder", None) or tempfile.mkdtemp(prefix="quillmatch-")
+        context._quillmatch_folder = folder
     return folder.rstrip("/")
 
 

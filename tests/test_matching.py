@@ -7,6 +7,7 @@ from itertools import combinations
 import pytest
 
 from quillmatch import MatchSession, NotFittedError, Strings, compute_pairwise_similarities, group_similar_strings, match_most_similar, match_strings
+from quillmatch import shared
 from quillmatch.operators.components import components
 
 NAMES = ["Mega Enterprises Corporation", "Hyper Startup Incorporated", "Hyper Startup Inc.", "Hyper-Startup Inc.", "Hyper Hyper Inc.", "Mega Enterprises Corp."]
@@ -200,13 +201,21 @@ def test_stream_does_not_depend_on_batches(spark, tmp_path):
     assert {(a, b) for a, _, b in got} == {("alpha company", "alpha companies"), ("beta corporation", "beta corporations")}
 
 
-def test_components_leave_one_table_of_links(spark, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        chain = spark.range(40).selectExpr("id a", "id + 1 b")
-        got = {(r.node, r.component) for r in components(chain).collect()}
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
+def test_components_leave_one_table_of_links(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shared, "shared_folder", lambda _: str(tmp_path))
+    got = {(r.node, r.component) for r in components(spark.range(40).selectExpr("id a", "id + 1 b")).collect()}
     assert got == {(n, 0) for n in range(41)}
     assert len(list(tmp_path.glob("*/links-*"))) == 1
+
+
+def test_a_folder_where_none_is_set():
+    class Context:
+        master = "local[1]"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    assert shared.shared_folder(Session) == shared.shared_folder(Session)
