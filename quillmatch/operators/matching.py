@@ -7,16 +7,23 @@ keeps strings of very many rows from making the square of their number.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmatch.config import MatchOptions
+from quillmatch.operators.shared_grams import ordered_vectors, similar
 from quillmatch.operators.vectors import prefixes
 from quillmatch.shared import written
 
 #: Work of a candidate by prefix, against a product of two postings: it is deduplicated, and then verified gram by gram.
 VERIFY = 4.0
+#: Beyond so many products, or their like, forms are compared by sets of shared grams, unless they have LONG grams or more on average: those sets carry whole vectors.
+MUCH, LONG = 1e8, 200
+#: Falling thresholds, for up to STEPWISE matches of a row.
+STEPS, STEPWISE = (0.75, 0.6, 0.45), 100
 
 
 def products(left: DataFrame, right: DataFrame) -> float:
@@ -25,17 +32,40 @@ def products(left: DataFrame, right: DataFrame) -> float:
     return counts[0].join(counts[1], "gram").agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0.0))).first()[0]
 
 
+def work(left: DataFrame, right: DataFrame, least: float) -> tuple[float, float]:
+    """The work of candidates by prefixes of one gram, each of which is verified with whole postings, and of all products. With a low threshold prefixes hold most grams.
+
+    Both are exact; nothing but two numbers reaches the driver."""
+    return VERIFY * products(prefixes(left, least), prefixes(right, least)), products(left, right)
+
+
 def prefix_pays(left: DataFrame, right: DataFrame, least: float) -> bool:
-    """Whether candidates by prefixes, each of which is verified with whole postings, are less work than all products. With a low threshold prefixes hold most grams.
+    """Whether candidates by prefixes are less work than all products."""
+    by_prefix, by_products = work(left, right, least)
+    return by_prefix < by_products
+
+
+def grams_of_a_form(postings: DataFrame) -> float:
+    """The mean number of different grams."""
+    n, forms = postings.agg(F.count("*"), F.approx_count_distinct("form")).first()
+    return n / max(forms, 1)
+
 
-    Both are exact; the counts of grams decide, so nothing but two numbers reaches the driver."""
-    return VERIFY * products(prefixes(left, least), prefixes(right, least)) < products(left, right)
+def mirrored(pairs: DataFrame) -> DataFrame:
+    return pairs.unionByName(pairs.select(F.col("rform").alias("lform"), F.col("lform").alias("rform"), "similarity"))
 
 
-def form_pairs(left: DataFrame, right: DataFrame, options: MatchOptions, same: bool) -> DataFrame:
+def equal_forms(left: DataFrame, right: DataFrame, same: bool) -> DataFrame:
+    """Pairs of forms with themselves: a form with grams has similarity 1 to itself."""
+    equal = left.select("form").distinct() if same else left.select("form").distinct().join(right.select("form").distinct(), "form")
+    return equal.select(F.col("form").alias("lform"), F.col("form").alias("rform"), F.lit(1.0).alias("similarity"))
+
+
+def form_pairs(left: DataFrame, right: DataFrame, options: MatchOptions, same: bool, by_prefix: bool | None = None) -> DataFrame:
     """(lform, rform, similarity) over the threshold, from the postings of either side. ``same``: both are the same forms; pairs are then mirrored."""
     t = options.min_similarity
-    by_prefix = t > 0 and prefix_pays(left, right, t)
+    if by_prefix is None:
+        by_prefix = t > 0 and prefix_pays(left, right, t)
     l = left.select(F.col("form").alias("lform"), "gram", F.col("w").alias("lw"))  # noqa: E741
     r = right.select(F.col("form").alias("rform"), "gram", F.col("w").alias("rw"))
     if by_prefix:
@@ -47,11 +77,8 @@ def form_pairs(left: DataFrame, right: DataFrame, options: MatchOptions, same: b
         products = l.join(r, "gram").where("lform < rform" if same else "lform <> rform")
     pairs = products.groupBy("lform", "rform").agg(F.sum(F.col("lw") * F.col("rw")).alias("similarity")).where(F.col("similarity") > t)
     if same:
-        pairs = pairs.unionByName(pairs.select(F.col("rform").alias("lform"), F.col("lform").alias("rform"), "similarity"))
-    if t < 1:  # a form with grams has similarity 1 to itself
-        equal = left.select("form").distinct() if same else left.select("form").distinct().join(right.select("form").distinct(), "form")
-        pairs = pairs.unionByName(equal.select(F.col("form").alias("lform"), F.col("form").alias("rform"), F.lit(1.0).alias("similarity")))
-    return pairs
+        pairs = mirrored(pairs)
+    return pairs.unionByName(equal_forms(left, right, same)) if t < 1 else pairs
 
 
 def best_forms(pairs: DataFrame, options: MatchOptions) -> DataFrame:
@@ -61,15 +88,49 @@ def best_forms(pairs: DataFrame, options: MatchOptions) -> DataFrame:
     return pairs.withColumn("__k", rank).where(F.col("__k") <= options.max_n_matches).drop("__k")
 
 
+def best_by_steps(left: DataFrame, right: DataFrame, options: MatchOptions, same: bool) -> DataFrame:
+    """What ``best_forms`` keeps of ``form_pairs``, for many forms: thresholds fall in steps, and a form with n matches over one is not looked at again. All of its best n are over
+    that threshold, ties among them too; the last step's is the one asked for."""
+    n, t = options.max_n_matches, options.min_similarity
+    near, far = ("lform", "rform") if options.topn_side == "left" else ("rform", "lform")
+    sides = ordered_vectors(left, None if same else right)
+    vectors = sides if near == "lform" else sides[::-1]
+    equal = written(equal_forms(left, right, same), "equal")
+    rest = (left if near == "lform" else right).select(F.col("form").alias(near)).distinct()
+    steps = [*(s for s in STEPS if s > t + 0.05 and n <= STEPWISE), t]
+    found = []
+    for k, s in enumerate(steps):
+        if same and k == 0:
+            pairs = mirrored(similar(vectors[0], None, s))
+        else:
+            looking = vectors[0] if k == 0 else written(vectors[0].join(rest.select(F.col(near).alias("f")), "f", "left_semi"), "vectors")
+            pairs = similar(looking, vectors[1], s).select(F.col("lform").alias(near), F.col("rform").alias(far), "similarity")
+        if s < 1:
+            pairs = pairs.unionByName(equal if k == 0 else equal.join(rest, near, "left_semi"))
+        pairs = written(best_forms(pairs, options), "best")
+        if k == len(steps) - 1:
+            return reduce(DataFrame.unionByName, [*found, pairs])
+        # similarities that count as equal lie on one side of the threshold
+        enough = written(pairs.where(F.col("similarity") > s + 1e-8).groupBy(near).count().where(F.col("count") >= n).select(near), "enough")
+        found.append(pairs.join(enough, near, "left_semi"))
+        rest = written(rest.join(enough, near, "left_anti"), "rest")
+
+
 def pairs_by_number(left: DataFrame, right: DataFrame, options: MatchOptions, same: bool) -> DataFrame:
     """The pairs of ``form_pairs`` that ``best_forms`` keeps, if matches must be over 0 (else results may need to know how many there are). Forms stand as numbers in
     between, which are smaller to move and faster to group by."""
     forms = left.select("form") if same else left.select("form").union(right.select("form"))
     numbers = written(forms.distinct().withColumn("number", F.monotonically_increasing_id()), "forms")
     numbered = [written(side.join(numbers, "form").select(F.col("number").alias("form"), "gram", "df", "w"), "numbered") for side in ([left] if same else [left, right])]
-    pairs = form_pairs(numbered[0], numbered[-1], options, same)
+    one, two = numbered[0], numbered[-1]
     if options.min_similarity > 0:
-        pairs = best_forms(pairs, options)
+        by_prefix, by_products = work(one, two, options.min_similarity)
+        if min(by_prefix, by_products) > MUCH and max(grams_of_a_form(one), grams_of_a_form(two)) < LONG:
+            pairs = best_by_steps(one, two, options, same)
+        else:
+            pairs = best_forms(form_pairs(one, two, options, same, by_prefix < by_products), options)
+    else:
+        pairs = form_pairs(one, two, options, same)
     for side in ("lform", "rform"):
         pairs = pairs.withColumnRenamed(side, "number").join(numbers.withColumnRenamed("form", side), "number").drop("number")
     return pairs

@@ -142,6 +142,30 @@ def test_prefix_filter_equals_all_pairs(spark):
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+@pytest.mark.parametrize("deep", [False, True])
+def test_keys_of_shared_grams_equal_products(spark, monkeypatch, deep):
+    from quillmatch.operators import matching, shared_grams
+
+    r = random.Random(7)
+    words = ["".join(r.choice("abc") for _ in range(r.randint(1, 9))) for _ in range(50)]
+    cases = [dict(min_similarity=0.3, max_n_matches=3, force_symmetries=False), dict(min_similarity=0.7, max_n_matches=1000), dict(min_similarity=0.3, max_n_matches=2, topn_side="right")]
+
+    def results():
+        sides = [(words, None), (words, None), (words[:30], words[20:])]
+        return [pairs(MatchSession(strings(spark, a), b and strings(spark, b), **o).fit()) for (a, b), o in list(zip(sides, cases))[deep:]]
+
+    want = results()
+    monkeypatch.setattr(matching, "MUCH", -1)
+    monkeypatch.setattr(matching, "STEPS", () if deep else (0.6,))
+    if deep:  # keys of several grams, dealt out
+        monkeypatch.setattr(shared_grams, "WORTH", 0)
+        monkeypatch.setattr(shared_grams, "GAIN", 1e9)
+        monkeypatch.setattr(shared_grams, "DEPTH", 2)
+        monkeypatch.setattr(shared_grams, "DEALT", 3)
+    for got, expected in zip(results(), want):
+        assert got == pytest.approx(expected)
+
+
 def test_positions_follow_the_order(spark):
     df = spark.createDataFrame([(9, "foo"), (1, "bar"), (5, "foo")], "k long, s string").repartition(3)
     got = match_strings(Strings(df, "s", order_by=("k",)))
