@@ -14,14 +14,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmatch.config import MatchOptions
+from quillmatch.operators.blocks import best_by_blocks
 from quillmatch.operators.shared_grams import ordered_vectors, similar
 from quillmatch.operators.vectors import prefixes
 from quillmatch.shared import written
 
 #: Work of a candidate by prefix, against a product of two postings: it is deduplicated, and then verified gram by gram.
 VERIFY = 4.0
-#: Beyond so many products, or their like, forms are compared by sets of shared grams, unless they have LONG grams or more on average: those sets carry whole vectors.
-MUCH, LONG = 1e8, 200
+#: Beyond FEW products forms are compared block against block. Beyond MUCH pairs of a posting of either side, which say how often blocks are moved, they are compared by sets of shared grams, unless
+#: they have LONG grams or more on average: those sets carry whole vectors.
+FEW, MUCH, LONG = 5e6, 1e14, 200
 #: Falling thresholds, for up to STEPWISE matches of a row.
 STEPS, STEPWISE = (0.75, 0.6, 0.45), 100
 
@@ -32,17 +34,11 @@ def products(left: DataFrame, right: DataFrame) -> float:
     return counts[0].join(counts[1], "gram").agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0.0))).first()[0]
 
 
-def work(left: DataFrame, right: DataFrame, least: float) -> tuple[float, float]:
-    """The work of candidates by prefixes of one gram, each of which is verified with whole postings, and of all products. With a low threshold prefixes hold most grams.
-
-    Both are exact; nothing but two numbers reaches the driver."""
-    return VERIFY * products(prefixes(left, least), prefixes(right, least)), products(left, right)
-
-
 def prefix_pays(left: DataFrame, right: DataFrame, least: float) -> bool:
-    """Whether candidates by prefixes are less work than all products."""
-    by_prefix, by_products = work(left, right, least)
-    return by_prefix < by_products
+    """Whether candidates by prefixes, each of which is verified with whole postings, are less work than all products. With a low threshold prefixes hold most grams.
+
+    Both are exact; the counts of grams decide, so nothing but two numbers reaches the driver."""
+    return VERIFY * products(prefixes(left, least), prefixes(right, least)) < products(left, right)
 
 
 def grams_of_a_form(postings: DataFrame) -> float:
@@ -61,11 +57,10 @@ def equal_forms(left: DataFrame, right: DataFrame, same: bool) -> DataFrame:
     return equal.select(F.col("form").alias("lform"), F.col("form").alias("rform"), F.lit(1.0).alias("similarity"))
 
 
-def form_pairs(left: DataFrame, right: DataFrame, options: MatchOptions, same: bool, by_prefix: bool | None = None) -> DataFrame:
+def form_pairs(left: DataFrame, right: DataFrame, options: MatchOptions, same: bool) -> DataFrame:
     """(lform, rform, similarity) over the threshold, from the postings of either side. ``same``: both are the same forms; pairs are then mirrored."""
     t = options.min_similarity
-    if by_prefix is None:
-        by_prefix = t > 0 and prefix_pays(left, right, t)
+    by_prefix = t > 0 and prefix_pays(left, right, t)
     l = left.select(F.col("form").alias("lform"), "gram", F.col("w").alias("lw"))  # noqa: E741
     r = right.select(F.col("form").alias("rform"), "gram", F.col("w").alias("rw"))
     if by_prefix:
@@ -124,11 +119,14 @@ def pairs_by_number(left: DataFrame, right: DataFrame, options: MatchOptions, sa
     numbered = [written(side.join(numbers, "form").select(F.col("number").alias("form"), "gram", "df", "w"), "numbered") for side in ([left] if same else [left, right])]
     one, two = numbered[0], numbered[-1]
     if options.min_similarity > 0:
-        by_prefix, by_products = work(one, two, options.min_similarity)
-        if min(by_prefix, by_products) > MUCH and max(grams_of_a_form(one), grams_of_a_form(two)) < LONG:
+        sizes = one.count(), two.count()
+        if sizes[0] * sizes[1] > MUCH and max(grams_of_a_form(one), grams_of_a_form(two)) < LONG:
             pairs = best_by_steps(one, two, options, same)
+        elif products(one, two) > FEW:
+            pairs = best_by_blocks(one, two, sizes, options.min_similarity, options.max_n_matches, options.topn_side, same)
+            pairs = best_forms(pairs.unionByName(equal_forms(one, two, same)) if options.min_similarity < 1 else pairs, options)
         else:
-            pairs = best_forms(form_pairs(one, two, options, same, by_prefix < by_products), options)
+            pairs = best_forms(form_pairs(one, two, options, same), options)
     else:
         pairs = form_pairs(one, two, options, same)
     for side in ("lform", "rform"):

@@ -166,6 +166,66 @@ def test_keys_of_shared_grams_equal_products(spark, monkeypatch, deep):
         assert got == pytest.approx(expected)
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_blocks_equal_products(spark, monkeypatch, small):
+    from quillmatch.operators import blocks, matching
+
+    r = random.Random(11)
+    words = ["".join(r.choice("aaabbc") for _ in range(r.randint(1, 12))) for _ in range(60)]
+    cases = [dict(min_similarity=0.3, max_n_matches=3, force_symmetries=False), dict(min_similarity=0.6, max_n_matches=1000), dict(min_similarity=0.3, max_n_matches=1), dict(min_similarity=0.3, max_n_matches=2, topn_side="right")]
+    sides = [(words, None), (words, None), (words[:40], words[20:]), (words[:40], words[20:])]
+
+    def results():
+        return [pairs(MatchSession(strings(spark, a), b and strings(spark, b), **o).fit()) for (a, b), o in zip(sides, cases)]
+
+    want = results()
+    monkeypatch.setattr(matching, "FEW", -1)
+    monkeypatch.setattr(matching, "best_by_steps", None)  # nor thresholds in steps, with their many jobs
+    if small:  # many blocks, and a few products at a time
+        monkeypatch.setattr(blocks, "BLOCK", 60)
+        monkeypatch.setattr(blocks, "TASKS", 1)
+    for got, expected in zip(results(), want):
+        assert got == pytest.approx(expected)
+
+
+@pytest.mark.parametrize("rare", [0, 1 / 8, 1])
+def test_a_block_against_brute_force(monkeypatch, rare):
+    import numpy as np
+    import pyarrow as pa
+
+    from quillmatch.operators import blocks
+
+    r = np.random.default_rng(3)
+
+    def table(begin, n):
+        rows = [sorted({int(r.random() ** 3 * 40) for _ in range(r.integers(1, 10))}) for _ in range(n)]
+        weights = [w / np.linalg.norm(w) for w in (r.random(len(g)) + 0.1 for g in rows)]
+        return pa.table({"f": range(begin, begin + n), "g": pa.array(rows, pa.list_(pa.int64())), "w": pa.array(weights, pa.list_(pa.float64()))})
+
+    def dense(table):
+        out = np.zeros((table.num_rows, 40))
+        for k, (g, w) in enumerate(zip(table["g"].to_pylist(), table["w"].to_pylist())):
+            out[k, g] = w
+        return out
+
+    monkeypatch.setattr(blocks, "RARE", rare)
+    near, far = table(0, 50), table(30, 60)
+    every = dense(near) @ dense(far).T
+    for small in (False, True):
+        if small:
+            for name, n in (("PRODUCTS", 30), ("CELLS", 150), ("PAIRS", 5)):
+                monkeypatch.setattr(blocks, name, n)
+        for t in (0.05, 0.4, 0.8):
+            for n in (1, 4, 1000):
+                want = set()
+                for x in range(50):
+                    over = sorted(((s, y + 30) for y, s in enumerate(every[x]) if s > t and y + 30 != x), reverse=True)
+                    want |= {(x, y) for s, y in over if s >= over[min(n, len(over)) - 1][0] - 1e-8}
+                got = blocks.best_of_blocks(near, far, t, n).to_pylist()
+                assert {(p["near"], p["far"]) for p in got} == want and len(got) == len(want)
+                assert all(p["similarity"] == pytest.approx(every[p["near"], p["far"] - 30]) for p in got)
+
+
 def test_positions_follow_the_order(spark):
     df = spark.createDataFrame([(9, "foo"), (1, "bar"), (5, "foo")], "k long, s string").repartition(3)
     got = match_strings(Strings(df, "s", order_by=("k",)))
