@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quillmatch.config import MatchOptions
 from quillmatch.operators.blocks import best_by_blocks
 from quillmatch.operators.shared_grams import ordered_vectors, similar
+from quillmatch.operators.skew import join_unique
 from quillmatch.operators.vectors import prefixes
 from quillmatch.shared import written
 
@@ -24,6 +25,8 @@ VERIFY = 4.0
 #: Beyond FEW products forms are compared block against block. Beyond MUCH pairs of a posting of either side, which say how often blocks are moved, they are compared by sets of shared grams, unless
 #: they have LONG grams or more on average: those sets carry whole vectors.
 FEW, MUCH, LONG = 5e6, 1e14, 200
+#: Matches of a task that makes them symmetric.
+MATCHES = 500_000
 #: Falling thresholds, for up to STEPWISE matches of a row.
 STEPS, STEPWISE = (0.75, 0.6, 0.45), 100
 
@@ -139,8 +142,8 @@ def ranked(c: str) -> F.Column:
     return F.round(c, 9)
 
 
-def best_n(pairs: DataFrame, left: DataFrame, right: DataFrame, options: MatchOptions) -> DataFrame:
-    """(left_pos, right_pos, similarity): the rows of ``left`` and ``right`` (pos, form), of each left row (or each right one) the best n, ties by position."""
+def best_n(pairs: DataFrame, left: DataFrame, right: DataFrame, options: MatchOptions) -> tuple[DataFrame, int]:
+    """(left_pos, right_pos, similarity): the rows of ``left`` and ``right`` (pos, form), of each left row (or each right one) the best n, ties by position. And how many these are."""
     n = options.max_n_matches
     near, far = ("l", "r") if options.topn_side == "left" else ("r", "l")
     sides = {"l": left, "r": right}
@@ -149,10 +152,13 @@ def best_n(pairs: DataFrame, left: DataFrame, right: DataFrame, options: MatchOp
     # and of each form the best n rows, which are those of each of its rows
     of_form = pairs.join(first.select(F.col("form").alias(f"{far}form"), F.col("pos").alias("far")), f"{far}form")
     rank = F.row_number().over(W.partitionBy(f"{near}form").orderBy(ranked("similarity").desc(), "far"))
-    best = of_form.withColumn("__k", rank).where(F.col("__k") <= n)
-    rows = best.join(sides[near].select(F.col("form").alias(f"{near}form"), F.col("pos").alias("near")), f"{near}form")
+    best = of_form.withColumn("__k", rank).where(F.col("__k") <= n).groupBy(F.col(f"{near}form").alias("form")).agg(F.collect_list(F.struct("far", "similarity")).alias("found"))
+    # a form of very many rows is dealt out
+    best = written(best.join(sides[near].groupBy("form").agg(F.count("*").alias("m")), "form"), "best")
+    total = best.agg(F.coalesce(F.sum(F.col("m") * F.size("found")), F.lit(0))).first()[0]
+    rows = join_unique(sides[near].select("form", F.col("pos").alias("near")), best, "form", "m").select("near", F.explode("found").alias("found")).select("near", "found.far", "found.similarity")
     at = {near: "near", far: "far"}
-    return rows.select(F.col(at["l"]).alias("left_pos"), F.col(at["r"]).alias("right_pos"), "similarity")
+    return rows.select(F.col(at["l"]).alias("left_pos"), F.col(at["r"]).alias("right_pos"), "similarity"), total
 
 
 def most_matches(pairs: DataFrame, left: DataFrame, right: DataFrame, options: MatchOptions) -> int:
@@ -162,10 +168,12 @@ def most_matches(pairs: DataFrame, left: DataFrame, right: DataFrame, options: M
     return pairs.join(rows, f"{far}form").groupBy(f"{near}form").agg(F.sum("count").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
 
 
-def symmetric(matches: DataFrame, rows: DataFrame) -> DataFrame:
-    """``matches`` of a self-join with every row matching itself with 1 and every pair both ways."""
+def symmetric(matches: DataFrame, total: int, rows: DataFrame) -> DataFrame:
+    """``matches`` of a self-join, ``total`` of them, with every row matching itself with 1 and every pair both ways."""
     others = matches.where("left_pos <> right_pos")
     both = others.unionByName(others.select(F.col("right_pos").alias("left_pos"), F.col("left_pos").alias("right_pos"), "similarity"))
+    # a pair occurs twice at most: moved first, as an aggregate before that would only hold all of a task's pairs
+    both = both.repartition(-(-2 * total // MATCHES) or 1, "left_pos", "right_pos")
     diagonal = rows.select(F.col("pos").alias("left_pos"), F.col("pos").alias("right_pos"), F.lit(1.0).alias("similarity"))
     return both.groupBy("left_pos", "right_pos").agg(F.max("similarity").alias("similarity")).unionByName(diagonal)
 

@@ -180,9 +180,9 @@ class MatchSession:
         left, right = self._vectors()
         same = self._duplicates is None
         self._pairs = pairs = written(matching.pairs_by_number(left, right, self.options, same), "pairs")
-        matches = matching.best_n(pairs, self._left, self._right, self.options)
+        matches, total = matching.best_n(pairs, self._left, self._right, self.options)
         if same and self.options.force_symmetries:
-            matches = matching.symmetric(matches, self._left)
+            matches = matching.symmetric(matches, total, self._left)
         self._matches = written(matches, "matches")
         self.is_build = True
         return self

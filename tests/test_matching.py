@@ -226,6 +226,20 @@ def test_a_block_against_brute_force(monkeypatch, rare):
                 assert all(p["similarity"] == pytest.approx(every[p["near"], p["far"] - 30]) for p in got)
 
 
+def test_copies_are_dealt_out_before_they_are_put_together(spark, monkeypatch):
+    from quillmatch.operators import matching
+
+    monkeypatch.setattr(matching, "MATCHES", 100)
+    s = MatchSession(strings(spark, ["foo"] * 300 + ["food", "bar"]), max_n_matches=3).fit()
+    got = pairs(s)
+    assert got.keys() == {(i, i) for i in range(302)} | {p for i in range(300) for j in range(3) for p in ((i, j), (j, i))} and set(got.values()) == {1.0}
+    matches, total = matching.best_n(s._pairs, s._left, s._right, s.options)
+    assert total == matches.count() == 902
+    plan = matching.symmetric(matches, total, s._left)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    moved = plan.index("Exchange hashpartitioning(left_pos")
+    assert "Aggregate" in plan[:moved] and "Aggregate" not in plan[moved:]
+
+
 def test_positions_follow_the_order(spark):
     df = spark.createDataFrame([(9, "foo"), (1, "bar"), (5, "foo")], "k long, s string").repartition(3)
     got = match_strings(Strings(df, "s", order_by=("k",)))
