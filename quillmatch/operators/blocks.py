@@ -132,7 +132,8 @@ def best_by_blocks(left: DataFrame, right: DataFrame, sizes: tuple[int, int], t:
     grams = written(of.select("gram", F.monotonically_increasing_id().alias("g")), "grams")
     names = ("lform", "rform") if topn_side == "left" else ("rform", "lform")
     sides, counts = ((left, right), sizes) if topn_side == "left" else ((right, left), sizes[::-1])
-    far_blocks = -(-counts[1] // BLOCK) or 1
+    # what is moved, the one side for each block of the other, is least in this proportion
+    far_blocks = max(-(-counts[1] // BLOCK), round((TASKS * counts[1] / max(counts[0], 1)) ** 0.5), 1)
     near_blocks = max(-(-counts[0] // BLOCK), -(-TASKS // far_blocks))
 
     def dealt(postings: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
