@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 from quillmatch.config import MatchOptions
 from quillmatch.functions.text import grams
 
+#: Characters of rows whose grams a task makes, and postings that a task sorts by form.
+CHARACTERS, POSTINGS = 500_000, 800_000
+
 
 def forms_of(rows: DataFrame) -> DataFrame:
     """(form, m, text): distinct normalised strings with the number of their rows. ``form`` may be a short key of them, if rows have form_text."""
-    return rows.groupBy("form").agg(F.count("*").alias("m"), F.first("form_text" if "form_text" in rows.columns else "form").alias("text"))
+    # a form has one text, so both are keys: an aggregate of strings would sort
+    return rows.groupBy("form", F.col("form_text" if "form_text" in rows.columns else "form").alias("text")).agg(F.count("*").alias("m")).select("form", "m", "text")
 
 
 def term_counts(forms: DataFrame, options: MatchOptions) -> DataFrame:
@@ -20,6 +24,12 @@ def term_counts(forms: DataFrame, options: MatchOptions) -> DataFrame:
     return forms.select("form", "m", F.explode(grams(F.col("text"), options)).alias("gram")).groupBy("form", "m", "gram").agg(F.count("*").alias("tf"))
 
 
+def counts_of(rows: DataFrame, options: MatchOptions) -> tuple[DataFrame, int]:
+    """``term_counts`` of the forms of ``rows``, and the number of rows. Forms are dealt to tasks by their characters: grams take many times the bytes by which tasks are put together otherwise."""
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("form_text" if "form_text" in rows.columns else "form")), F.lit(0))).first()
+    return term_counts(forms_of(rows).repartition(-(-size // CHARACTERS) or 1, "form"), options), n
+
+
 def document_frequencies(counts: DataFrame) -> DataFrame:
     """(gram, df): in how many rows a gram occurs."""
     return counts.groupBy("gram").agg(F.sum("m").alias("df"))

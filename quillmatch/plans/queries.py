@@ -50,7 +50,7 @@ def char_ngrams(spark, d):
 
 def _counts(spark, d):
     rows = normalized(table(spark, d, "supplier"), "s_name", DEFAULTS, "form")
-    return vectors.term_counts(vectors.forms_of(rows), DEFAULTS), rows.count()
+    return vectors.counts_of(rows, DEFAULTS)
 
 
 def ngram_counts(spark, d):

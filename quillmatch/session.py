@@ -150,10 +150,10 @@ class MatchSession:
 
     def _counts(self, rows: DataFrame) -> DataFrame:
         """Counts of the grams of ``rows`` (form, form_text), from which weights are learned unless frozen ones are there."""
-        counts = vectors.term_counts(vectors.forms_of(rows), self.options)
+        counts, n = vectors.counts_of(rows, self.options)
         if self.corpus_mode == "refit" or self._frozen is None or self._frozen_by != self._grams_by():
             self._frozen_by = self._grams_by()
-            self._frozen = written(vectors.corpus(counts, rows.count()), "corpus")
+            self._frozen = written(vectors.corpus(counts, n), "corpus")
         return counts
 
     def learn(self) -> MatchSession:
@@ -169,7 +169,8 @@ class MatchSession:
         postings = written(vectors.vectors(counts, self._frozen, self.options), "postings")
         if self._duplicates is None:
             return postings, postings
-        return tuple(postings.join(side.select("form").distinct(), "form", "left_semi") for side in (self._left, self._right))
+        dealt = postings.repartition(-(-postings.count() // vectors.POSTINGS) or 1, "form")
+        return tuple(dealt.join(side.select("form").distinct(), "form", "left_semi") for side in (self._left, self._right))
 
     def _load(self) -> None:
         self._left = written(self._master.rows(self.options), "left")

@@ -240,6 +240,16 @@ def test_copies_are_dealt_out_before_they_are_put_together(spark, monkeypatch):
     assert "Aggregate" in plan[:moved] and "Aggregate" not in plan[moved:]
 
 
+def test_grams_are_made_in_tasks_of_bounded_text(spark, monkeypatch):
+    from quillmatch.config import MatchOptions
+    from quillmatch.operators import vectors
+
+    monkeypatch.setattr(vectors, "CHARACTERS", 100)
+    rows = spark.createDataFrame([(f"{i:010d}",) for i in range(90)], "form string")
+    counts, n = vectors.counts_of(rows, MatchOptions())
+    assert n == 90 and counts.rdd.getNumPartitions() == 9 and counts.agg({"tf": "sum"}).first()[0] == 90 * 8
+
+
 def test_positions_follow_the_order(spark):
     df = spark.createDataFrame([(9, "foo"), (1, "bar"), (5, "foo")], "k long, s string").repartition(3)
     got = match_strings(Strings(df, "s", order_by=("k",)))
