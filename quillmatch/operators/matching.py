@@ -17,7 +17,7 @@ from quillmatch.config import MatchOptions
 from quillmatch.operators.blocks import best_by_blocks
 from quillmatch.operators.shared_grams import ordered_vectors, similar
 from quillmatch.operators.skew import join_unique
-from quillmatch.operators.vectors import prefixes
+from quillmatch.operators.vectors import Vectors, prefixes
 from quillmatch.shared import written
 
 #: Work of a candidate by prefix, against a product of two postings: it is deduplicated, and then verified gram by gram.
@@ -54,15 +54,15 @@ def mirrored(pairs: DataFrame) -> DataFrame:
     return pairs.unionByName(pairs.select(F.col("rform").alias("lform"), F.col("lform").alias("rform"), "similarity"))
 
 
-def equal_forms(left: DataFrame, right: DataFrame, same: bool) -> DataFrame:
+def equal_forms(vectors: Vectors) -> DataFrame:
     """Pairs of forms with themselves: a form with grams has similarity 1 to itself."""
-    equal = left.select("form").distinct() if same else left.select("form").distinct().join(right.select("form").distinct(), "form")
-    return equal.select(F.col("form").alias("lform"), F.col("form").alias("rform"), F.lit(1.0).alias("similarity"))
+    return vectors.table.where("l and r").select(F.col("f").alias("lform"), F.col("f").alias("rform"), F.lit(1.0).alias("similarity"))
 
 
-def form_pairs(left: DataFrame, right: DataFrame, options: MatchOptions, same: bool) -> DataFrame:
-    """(lform, rform, similarity) over the threshold, from the postings of either side. ``same``: both are the same forms; pairs are then mirrored."""
+def form_pairs(vectors: Vectors, options: MatchOptions, same: bool) -> DataFrame:
+    """(lform, rform, similarity) over the threshold. ``same``: both sides are the same forms; pairs are then mirrored."""
     t = options.min_similarity
+    left, right = vectors.postings("l"), vectors.postings("r")
     by_prefix = t > 0 and prefix_pays(left, right, t)
     l = left.select(F.col("form").alias("lform"), "gram", F.col("w").alias("lw"))  # noqa: E741
     r = right.select(F.col("form").alias("rform"), "gram", F.col("w").alias("rw"))
@@ -76,7 +76,7 @@ def form_pairs(left: DataFrame, right: DataFrame, options: MatchOptions, same: b
     pairs = products.groupBy("lform", "rform").agg(F.sum(F.col("lw") * F.col("rw")).alias("similarity")).where(F.col("similarity") > t)
     if same:
         pairs = mirrored(pairs)
-    return pairs.unionByName(equal_forms(left, right, same)) if t < 1 else pairs
+    return pairs.unionByName(equal_forms(vectors)) if t < 1 else pairs
 
 
 def best_forms(pairs: DataFrame, options: MatchOptions) -> DataFrame:
@@ -86,23 +86,24 @@ def best_forms(pairs: DataFrame, options: MatchOptions) -> DataFrame:
     return pairs.withColumn("__k", rank).where(F.col("__k") <= options.max_n_matches).drop("__k")
 
 
-def best_by_steps(left: DataFrame, right: DataFrame, options: MatchOptions, same: bool) -> DataFrame:
+def best_by_steps(vectors: Vectors, options: MatchOptions, same: bool) -> DataFrame:
     """What ``best_forms`` keeps of ``form_pairs``, for many forms: thresholds fall in steps, and a form with n matches over one is not looked at again. All of its best n are over
     that threshold, ties among them too; the last step's is the one asked for."""
     n, t = options.max_n_matches, options.min_similarity
     near, far = ("lform", "rform") if options.topn_side == "left" else ("rform", "lform")
-    sides = ordered_vectors(left, None if same else right)
-    vectors = sides if near == "lform" else sides[::-1]
-    equal = written(equal_forms(left, right, same), "equal")
-    rest = (left if near == "lform" else right).select(F.col("form").alias(near)).distinct()
+    left = vectors.postings("l")
+    sides = ordered_vectors(left, None if same else vectors.postings("r"))
+    sides = sides if near == "lform" else sides[::-1]
+    equal = equal_forms(vectors)
+    rest = vectors.table.where(near[0]).select(F.col("f").alias(near))
     steps = [*(s for s in STEPS if s > t + 0.05 and n <= STEPWISE), t]
     found = []
     for k, s in enumerate(steps):
         if same and k == 0:
-            pairs = mirrored(similar(vectors[0], None, s))
+            pairs = mirrored(similar(sides[0], None, s))
         else:
-            looking = vectors[0] if k == 0 else written(vectors[0].join(rest.select(F.col(near).alias("f")), "f", "left_semi"), "vectors")
-            pairs = similar(looking, vectors[1], s).select(F.col("lform").alias(near), F.col("rform").alias(far), "similarity")
+            looking = sides[0] if k == 0 else written(sides[0].join(rest.select(F.col(near).alias("f")), "f", "left_semi"), "vectors")
+            pairs = similar(looking, sides[1], s).select(F.col("lform").alias(near), F.col("rform").alias(far), "similarity")
         if s < 1:
             pairs = pairs.unionByName(equal if k == 0 else equal.join(rest, near, "left_semi"))
         pairs = written(best_forms(pairs, options), "best")
@@ -114,26 +115,21 @@ def best_by_steps(left: DataFrame, right: DataFrame, options: MatchOptions, same
         rest = written(rest.join(enough, near, "left_anti"), "rest")
 
 
-def pairs_by_number(left: DataFrame, right: DataFrame, options: MatchOptions, same: bool) -> DataFrame:
-    """The pairs of ``form_pairs`` that ``best_forms`` keeps, if matches must be over 0 (else results may need to know how many there are). Forms stand as numbers in
+def pairs_by_number(vectors: Vectors, options: MatchOptions, same: bool) -> DataFrame:
+    """The pairs of ``form_pairs`` that ``best_forms`` keeps, if matches must be over 0 (else results may need to know how many there are). Forms and grams stand as numbers in
     between, which are smaller to move and faster to group by."""
-    forms = left.select("form") if same else left.select("form").union(right.select("form"))
-    numbers = written(forms.distinct().withColumn("number", F.monotonically_increasing_id()), "forms")
-    numbered = [written(side.join(numbers, "form").select(F.col("number").alias("form"), "gram", "df", "w"), "numbered") for side in ([left] if same else [left, right])]
-    one, two = numbered[0], numbered[-1]
     if options.min_similarity > 0:
-        sizes = one.count(), two.count()
-        if sizes[0] * sizes[1] > MUCH and max(grams_of_a_form(one), grams_of_a_form(two)) < LONG:
-            pairs = best_by_steps(one, two, options, same)
-        elif products(one, two) > FEW:
-            pairs = best_by_blocks(one, two, sizes, options.min_similarity, options.max_n_matches, options.topn_side, same)
-            pairs = best_forms(pairs.unionByName(equal_forms(one, two, same)) if options.min_similarity < 1 else pairs, options)
+        if vectors.all[0] * vectors.all[1] > MUCH and max(grams_of_a_form(vectors.postings(side)) for side in "lr") < LONG:
+            pairs = best_by_steps(vectors, options, same)
+        elif vectors.products > FEW:
+            pairs = best_by_blocks(vectors, options.min_similarity, options.max_n_matches, options.topn_side)
+            pairs = best_forms(pairs.unionByName(equal_forms(vectors)) if options.min_similarity < 1 else pairs, options)
         else:
-            pairs = best_forms(form_pairs(one, two, options, same), options)
+            pairs = best_forms(form_pairs(vectors, options, same), options)
     else:
-        pairs = form_pairs(one, two, options, same)
+        pairs = form_pairs(vectors, options, same)
     for side in ("lform", "rform"):
-        pairs = pairs.withColumnRenamed(side, "number").join(numbers.withColumnRenamed("form", side), "number").drop("number")
+        pairs = pairs.withColumnRenamed(side, "number").join(vectors.numbers.withColumnRenamed("form", side), "number").drop("number")
     return pairs
 
 

@@ -115,6 +115,10 @@ class MatchSession:
         o = self.options
         return o.ngram_size, o.regex, o.ignore_case, o.normalize_to_ascii, o.tokenizer
 
+    def _learns(self) -> bool:
+        """Whether weights are to be learned, rather than frozen ones taken."""
+        return self.corpus_mode == "refit" or self._frozen is None or self._frozen_by != self._grams_by()
+
     def _validate(self) -> None:
         if self.options.replace_na and self._master is not None:
             if self._duplicates is None:
@@ -151,7 +155,7 @@ class MatchSession:
     def _counts(self, rows: DataFrame) -> DataFrame:
         """Counts of the grams of ``rows`` (form, form_text), from which weights are learned unless frozen ones are there."""
         counts, n = vectors.counts_of(rows, self.options)
-        if self.corpus_mode == "refit" or self._frozen is None or self._frozen_by != self._grams_by():
+        if self._learns():
             self._frozen_by = self._grams_by()
             self._frozen = written(vectors.corpus(counts, n), "corpus")
         return counts
@@ -178,9 +182,12 @@ class MatchSession:
 
     def fit(self) -> MatchSession:
         self._load()
-        left, right = self._vectors()
         same = self._duplicates is None
-        self._pairs = pairs = written(matching.pairs_by_number(left, right, self.options, same), "pairs")
+        frozen = None if self._learns() else self._frozen
+        made = vectors.vectors_of(self._left, None if same else self._right, frozen, self.options)
+        if frozen is None:
+            self._frozen, self._frozen_by = made.corpus, self._grams_by()
+        self._pairs = pairs = written(matching.pairs_by_number(made, self.options, same), "pairs")
         matches, total = matching.best_n(pairs, self._left, self._right, self.options)
         if same and self.options.force_symmetries:
             matches = matching.symmetric(matches, total, self._left)

@@ -226,6 +226,77 @@ def test_a_block_against_brute_force(monkeypatch, rare):
                 assert all(p["similarity"] == pytest.approx(every[p["near"], p["far"] - 30]) for p in got)
 
 
+def test_vectors_settled_by_couples_of_rare_grams_meet_little(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from quillmatch.operators import blocks
+
+    r, spans = np.random.default_rng(5), blocks._spans
+
+    texts = [[f"#{x:09d}" for x in r.choice(most, n, False)] for n, most in ((500, 900_000), (15_000, 60_000))]
+    grams = [[sorted({int(x[i : i + 3].replace("#", "1")) + 900 * (x[i] == "#") for i in range(8)}) for x in side] for side in texts]
+    df = np.bincount([g for side in grams for row in side for g in row], minlength=1001)
+
+    def table(begin, rows):
+        weights = [w / np.linalg.norm(w) for w in (np.log(15_501 / (1 + df[row])) + 1 for row in rows)]
+        return pa.table({"f": range(begin, begin + len(rows)), "g": pa.array(rows, pa.list_(pa.int64())), "w": pa.array(weights, pa.list_(pa.float64()))})
+
+    near, far = table(0, grams[0]), table(10_000, grams[1])
+    x, y = (np.zeros((t.num_rows, 1001)) for t in (near, far))
+    for out, t in ((x, near), (y, far)):
+        for k, (g, w) in enumerate(zip(t["g"].to_pylist(), t["w"].to_pylist())):
+            out[k, g] = w
+    every = x @ y.T
+    for n in (1, 3):
+        met = []
+        monkeypatch.setattr(blocks, "_spans", lambda begins, lengths: met.append(int(lengths.sum())) or spans(begins, lengths))
+        got = blocks.best_of_blocks(near, far, 0.3, n).to_pylist()
+        last = np.maximum(np.sort(every, 1)[:, -n] - 1e-8, 0.3)
+        assert {(p["near"], p["far"] - 10_000) for p in got} == {(int(a), int(b)) for a, b in zip(*np.nonzero(every >= last[:, None]))}
+        assert n > 1 or sum(met) < 120_000
+
+
+@pytest.mark.parametrize("frozen", [False, True])
+def test_vectors_as_arrays_equal_postings(spark, frozen):
+    from quillmatch.config import MatchOptions
+    from quillmatch.operators import vectors
+
+    options = MatchOptions()
+    one, two = (spark.createDataFrame([(w, w) for w in words], "form string, form_text string") for words in (["abcabcd", "abcabcd", "xyzu", "ab", "", "unlike"], ["abcd", "zabc", "xyz", "xyzu"]))
+    counts, n = vectors.counts_of(one if frozen else one.unionByName(two), options)
+    corpus = vectors.corpus(counts, n)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)  # several lists of grams
+        got = vectors.vectors_of(one, two, corpus if frozen else None, options)
+        counts, _ = vectors.counts_of(one.unionByName(two), options)
+        want = {(r.form, r.gram): (r.df, r.w) for r in vectors.vectors(counts, corpus, options).collect()}
+        names = {r.number: r.form for r in got.numbers.collect()}
+        grams = {form: set() for form in names.values()}
+        for p in got.postings("l").collect():
+            grams[names[p.form]].add((p.df, round(p.w, 9)))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    shared = {g for f, g in want if f in ("abcabcd", "xyzu", "unlike")} & {g for f, g in want if f in ("abcd", "zabc", "xyz", "xyzu")}
+    for form in ("abcabcd", "xyzu", "unlike", "ab", ""):
+        assert grams[form] == {(d, round(w, 9)) for (f, g), (d, w) in want.items() if f == form and g in shared}
+    assert {names[r.f] for r in got.table.collect()} == {f for f, _ in want}
+
+
+def test_a_nearest_match_takes_few_jobs(spark, monkeypatch):
+    from quillmatch.operators import matching
+
+    monkeypatch.setattr(matching, "FEW", -1)
+    spark.sparkContext.setJobGroup("nearest", "nearest")
+    try:
+        assert match_most_similar(strings(spark, NAMES), strings(spark, NAMES[::-1]), min_similarity=0.3).count() == 6
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("nearest"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 55
+
+
 def test_copies_are_dealt_out_before_they_are_put_together(spark, monkeypatch):
     from quillmatch.operators import matching
 
