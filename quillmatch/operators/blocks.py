@@ -109,10 +109,10 @@ def best_of_blocks(near: pa.Table, far: pa.Table, t: float, n: int) -> pa.Table:
         order = np.argsort(c_row * v + c_gram)
         c_row, c_gram = c_row[order], c_gram[order]
         one, two = _couples(c_gram, couples)
-        keys, c_row = c_gram[one] * v + c_gram[two], c_row[one]
-        order = np.argsort(keys)
-        c_row = c_row[order]
-        c_keys, c_begin, c_count = np.unique(keys[order], return_index=True, return_counts=True)
+        c_row, c_one, c_two, c_place = c_row[one], c_gram[one], c_gram[two], np.argsort(c_gram[one] * v + c_gram[two], kind="stable")
+        c_w, c_w2 = (rw[is_rare][order][k] for k in (one, two))
+        c_keys, c_begin, c_count = np.unique((c_one * v + c_two)[c_place], return_index=True, return_counts=True)
+        c_bits = max(int(len(c_row) - 1).bit_length(), 1)
     # what a pair with fewer than two rare grams in common can have at most
     r_square = rw * rw + (r_rest * r_rest)[row]
     g_most, g_rest, g_square = (_greatest(rl[is_rare], x[is_rare], v) for x in (rw, r_rest[row], r_square))
@@ -154,11 +154,21 @@ def best_of_blocks(near: pa.Table, far: pa.Table, t: float, n: int) -> pa.Table:
             there_are = np.where(c_keys[place_of] == keys, c_count[place_of], 0)
             few &= 2 * np.bincount(x, there_are, minlength=b - a) <= np.diff(work[a : b + 1])
             there_are[~few[x]] = 0
-            y = c_row[_spans(c_begin[place_of], there_are)]
-            both = np.unique(np.repeat(x, there_are) * len(rf) + y)
-            x, y = both // len(rf), both % len(rf)
-            kept = qf[a + x] != rf[y]
-            x, y = x[kept], y[kept]
+            kind = np.uint32 if (b - a) << c_bits < 1 << 32 else np.int64
+            keys = np.repeat((x << c_bits).astype(kind), there_are) | c_place[_spans(c_begin[place_of], there_are)].astype(kind)
+            keys.sort()  # by vector of near, then by vector of far
+            x, e = (keys >> c_bits).astype(np.int64), (keys & ((1 << c_bits) - 1)).astype(np.int64)
+            y = c_row[e]
+            first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])) if len(x) else np.zeros(0, np.int64)
+            if len(x):
+                # of k shared grams each is in k - 1 couples
+                many = np.diff(np.append(first, len(x)))
+                least = np.add.reduceat(cells[x * v + c_one[e]] * c_w[e] + cells[x * v + c_two[e]] * c_w2[e], first) / np.round((np.sqrt(1 + 8 * many) - 1) / 2)
+                x, y = x[first], y[first]
+                kept = qf[a + x] != rf[y]
+                x, y, least = x[kept], y[kept], least[kept]
+                kept = least + q_rest[a + x] * r_rest[y] >= _nth(x, least, n, b - a)[x] - EQUAL
+                x, y = x[kept], y[kept]
             product = whole(x, y)
             best = _nth(x, product, n, b - a)
             settled = few & ((best - EQUAL > fewer[a:b]) | (t >= fewer[a:b]))
